@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recall_engine.llm import html, neighbours, packing, quality, secrets, token_files, tokenize
+from recall_engine.llm import html, near_dedup, neighbours, packing, quality, secrets, token_files, tokenize
 from recall_engine.llm.stage import new_path
 
 
@@ -58,6 +58,10 @@ def with_crc(rows: DataFrame, ids: str = "ids") -> DataFrame:
     return rows.mapInArrow(run, rows.withColumn("ids_crc32", F.lit(0).cast("long")).schema)
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.MinHash(words=2))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train_quality(docs, table(spark, sf_dir, "labels"))
@@ -81,6 +85,7 @@ QUERIES = {
     "op4_secret_scans": op4_secret_scans,
     "op5_cross_polytope": op5_cross_polytope,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
 }
