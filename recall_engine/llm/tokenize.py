@@ -89,11 +89,15 @@ class UnitEncoder:
             self.known.clear()
         dealt = [self.units(x) for x in texts]
         found = [list(map(self.known.get, x)) for x in dealt]
-        short = [i for i, x in enumerate(found) if None in x]
-        if short:
-            self.learn([*{u for i in short for u, v in zip(dealt[i], found[i], strict=True) if v is None}])
-            for i in short:
-                found[i] = map(self.known.__getitem__, dealt[i])
+        gaps = []
+        for units, ids in zip(dealt, found, strict=True):
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                gaps.append((ids, at, units[at]))
+        self.learn([*{unit for _, _, unit in gaps}])
+        for ids, at, unit in gaps:
+            ids[at] = self.known[unit]
         return [np.frombuffer(b"".join(x), np.uint32) for x in found]
 
 
