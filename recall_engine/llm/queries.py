@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recall_engine.llm import html, near_dedup, neighbours, packing, quality, secrets, token_files, tokenize
+from recall_engine.llm import html, near_dedup, neighbours, packing, quality, secrets, substring_dedup, suffix_dedup, token_files, tokenize
 from recall_engine.llm.stage import new_path
 
 
@@ -27,6 +27,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_offsets(token_files.read_token_ids(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_bytes(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -79,8 +83,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.cut_words(substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_html_extraction": op3_html_extraction,
     "op4_secret_scans": op4_secret_scans,
     "op5_cross_polytope": op5_cross_polytope,
@@ -88,5 +97,6 @@ QUERIES = {
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
