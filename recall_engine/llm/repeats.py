@@ -222,14 +222,18 @@ def repeated_windows(docs: DataFrame, units: Units, compare: Callable[[Group], n
     return parts[0].unionByName(parts[1])
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs and ``spans``: the document's stretches (start, end), merged and in order."""
+def gathered(spans: DataFrame) -> DataFrame:
+    """(key, id, spans): each document's stretches (start, end), merged and in order."""
     order = Window.partitionBy("key", "id").orderBy("start", "end")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max("end").over(before)
     run = F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     merged = spans.distinct().withColumn("reach", reach).withColumn("run", run).groupBy("key", "id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    gathered = merged.groupBy("key", "id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    return docs.join(gathered, ["key", "id"], "left")
+    return merged.groupBy("key", "id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
+def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """docs and their ``spans``; null where there are none."""
+    return docs.join(gathered(spans), ["key", "id"], "left")
 
 

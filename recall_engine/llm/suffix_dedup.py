@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recall_engine.llm.repeats import Group, Units, repeated_windows, with_spans
-from recall_engine.llm.stage import keyed, public_id
+from recall_engine.llm.repeats import Group, Units, gathered, repeated_windows, with_spans
+from recall_engine.llm.stage import NULL_ID, keyed, public_id, row_key
 from recall_engine.llm.textcols import buffer_of, byte_values, prefix_hash, slices
 
 #: Bytes that multikey quicksort compares before blind tries take over.
@@ -122,3 +122,30 @@ def cut_bytes(marked: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (size, gone, count))], ["key", "doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     return marked.select("key", "id", "text", "spans").mapInArrow(run, "key long, doc_id long, kept binary, n_bytes long, n_removed long, n_spans long").withColumn("doc_id", public_id("doc_id"))
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the spans of suffix_dedup cut out of the text.
+
+    A cut may fall within a character; what is left of it goes.  All rows and
+    columns stay; texts without spans, null ones included, stay as they are.
+    """
+    rows = keyed(docs, id_col, text_col)
+    spans = gathered(repeated_windows(rows, Units(length, 32, _read), _compare(length), later_only=False)).withColumnsRenamed({"key": "__key", "id": "__id", "spans": "__spans"})
+    marked = docs.withColumns({"__key": row_key(id_col, text_col), "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))}).join(spans, ["__key", "__id"], "left").select(*docs.columns, "__spans")
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in slices(batches, text_col):
+            out = []
+            for text, cuts in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if cuts:
+                    raw = text.encode()
+                    at = [0, *(c["end"] for c in cuts)]
+                    text = b"".join(raw[a:b] for a, b in zip(at, [*(c["start"] for c in cuts), len(raw)], strict=True)).decode("utf-8", "ignore")
+                out.append(text)
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            columns[place] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+
+    return marked.mapInArrow(run, docs.schema)
