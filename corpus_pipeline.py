@@ -1,8 +1,68 @@
-"""A training-data pipeline over the documents table."""
+"""A training-data pipeline over the documents table.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next stage's docs.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recall_engine.llm import near_dedup, packing, quality, secrets, suffix_dedup
+from recall_engine.llm.stage import written
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the trees reject go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    judged = quality.judge_quality(docs, quality.train_quality(docs, labels), keep_columns=True)
+    return judged.where("q_kept").select(*docs.columns)
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays (five-word shingles, 0.8)."""
+    return near_dedup.keep_one_each(docs, near_dedup.MinHash(words=5, percent=80))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes that occur elsewhere are cut out."""
+    return _counted(suffix_dedup.remove_repeats(docs))
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark."""
+    return _counted(secrets.redact(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences of 1024."""
+    pieces = packing.cut_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return packing.pack(pieces)
+
+
+STAGES = [
+    ("quality rules", keep_good),
+    ("MinHash near-dedup", keep_one),
+    ("suffix-array dedup", cut_repeats),
+    ("secret scans", hide_secrets),
+    ("best-fit packing", pack_sequences),
+]
+
+#: Trees, signatures and packing are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"stage-{i + 1}")
+    return docs
