@@ -133,7 +133,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     rows = keyed(docs, id_col, text_col)
     spans = gathered(repeated_windows(rows, Units(length, 32, _read), _compare(length), later_only=False)).withColumnsRenamed({"key": "__key", "id": "__id", "spans": "__spans"})
     marked = docs.withColumns({"__key": row_key(id_col, text_col), "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))}).join(spans, ["__key", "__id"], "left").select(*docs.columns, "__spans")
-    place = docs.columns.index(text_col)
+    names = docs.columns
+    place = names.index(text_col)
 
     def run(batches):
         for batch in slices(batches, text_col):
@@ -146,6 +147,6 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                 out.append(text)
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             columns[place] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return marked.mapInArrow(run, docs.schema)
