@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recall_engine.llm.components import components
-from recall_engine.llm.stage import keyed, public_id, written
+from recall_engine.llm.stage import NULL_ID, keyed, public_id, row_key, written
 from recall_engine.llm.textcols import Words, mix, prefix_hash, slices, span_hash
 
 #: ASCII letters to lower case, and the separators of words.
@@ -24,18 +24,20 @@ _TO_SPACE = bytes(32 if b in (0x20, *range(0x09, 0x0E)) else b for b in range(25
 class MinHash:
     """words a shingle; least similarity in percent; bands of rows coordinates.
 
-    A pair at 80 % misses all 32 bands of 4 with a chance of 5e-8.
+    A pair at 80 % misses all 48 bands of 6 with a chance of 5e-7.
     sketch: coordinates kept as bytes to drop pairs that only met by chance:
-    at 80 % fewer than sketch_least of 64 agree with a chance below 1e-9.
+    at 80 % fewer than sketch_least of 128 agree with a chance of 1e-8.
     """
 
     words: int = 5
     percent: int = 80
-    bands: int = 32
-    rows: int = 4
-    sketch: int = 64
-    sketch_least: int = 30
+    bands: int = 48
+    rows: int = 6
+    sketch: int = 128
+    sketch_least: int = 76
     seed: int = 11
+    #: Members of a bucket that one comparison of blocks takes from each side.
+    block: int = 1024
 
 
 def shingle_hashes(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,18 +129,92 @@ def _set_of(text: str, words: int) -> set:
     return word_shingles(text, words)
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, how: MinHash) -> DataFrame:
-    """The pairs (a, b) of class ids whose sets are similar enough: sizes, then
-    sketches, then the sets themselves."""
-    side = lambda c: sketches.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    text = lambda c: texts.select(F.col("cid").alias(c), F.col("text").alias(f"t{c}"))
+def _with_class(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    return rows.join(chosen.select("cid", "n", "sketch"), "cid")
+
+
+def _likely_with_leader(placed: DataFrame, leader: DataFrame, chosen: DataFrame, how: MinHash) -> DataFrame:
+    """(a, b): each bucket's leader and members of other labels whose sizes and
+    sketches allow the similarity."""
+    pairs = placed.join(leader, "bucket").where(F.col("label") != F.col("leader_label")).select("a", F.col("cid").alias("b")).distinct()
+    side = lambda c: chosen.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
 
-    def alike(batches):
+    def run(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, how.sketch) for i in (2, 3))
             keep = np.flatnonzero((x == y).sum(axis=1) >= how.sketch_least)
             yield batch.take(pa.array(keep)).select(["a", "b"])
 
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where((100 * F.col("na") >= how.percent * F.col("nb")) & (100 * F.col("nb") >= how.percent * F.col("na")))
+    return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _likely_in_blocks(open_rows: DataFrame, chosen: DataFrame, how: MinHash) -> DataFrame:
+    """(a, b): pairs of different labels within a bucket whose sizes and
+    sketches allow the similarity.
+
+    Rows (bucket, size, cid, label).  A bucket is cut into blocks, and tasks
+    compare two blocks at a time; only likely pairs leave a task.
+    """
+    blocks = F.ceil(F.col("size") / how.block).cast("int")
+    mine = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    rows = (
+        _with_class(open_rows, chosen)
+        .withColumn("blocks", blocks)
+        .withColumn("mine", mine)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cid", "label", "n", "sketch")
+        .repartition("bucket", "i", "j")
+        .sortWithinPartitions("bucket", "i", "j")
+    )
+
+    def pairs_of(table: pa.RecordBatch):
+        bucket, i, j, mine, cid, label, n = (np.asarray(table.column(k)) for k in range(7))
+        sketch = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8).reshape(-1, how.sketch)
+        new = np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        found_a, found_b = [], []
+        for a, b in zip([0, *new.tolist()], [*new.tolist(), len(bucket)], strict=True):
+            if b - a < 2:
+                continue
+            left = np.arange(a, b)
+            right = left
+            if i[a] != j[a]:
+                left, right = left[mine[a:b] == i[a]], left[mine[a:b] == j[a]]
+                if not len(left) or not len(right):
+                    continue
+            ok = (label[left][:, None] != label[right]) & (100 * n[left][:, None] >= how.percent * n[right]) & (100 * n[right] >= how.percent * n[left][:, None])
+            if i[a] == j[a]:
+                ok = np.triu(ok, 1)
+            x, y = left[np.nonzero(ok)[0]], right[np.nonzero(ok)[1]]
+            for at in range(0, len(x), 65_536):
+                part = slice(at, at + 65_536)
+                good = (sketch[x[part]] == sketch[y[part]]).sum(axis=1) >= how.sketch_least
+                found_a.append(cid[x[part][good]])
+                found_b.append(cid[y[part][good]])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (found_a, found_b))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            keys = [np.asarray(batch.column(k)) for k in range(3)]
+            last = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0)) if batch.num_rows else []
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield pairs_of(batch.slice(0, cut))
+            held = batch.slice(cut)
+        if held is not None and held.num_rows:
+            yield pairs_of(held)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _confirmed(likely: DataFrame, texts: DataFrame, how: MinHash) -> DataFrame:
+    """The pairs (a, b) of class ids whose whole sets are similar enough."""
+    text = lambda c: texts.select(F.col("cid").alias(c), F.col("text").alias(f"t{c}"))
+
     def exact(batches):
         for batch in slices(batches, "tb"):
             keep = []
@@ -149,13 +225,11 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, how: Min
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where((100 * F.col("na") >= how.percent * F.col("nb")) & (100 * F.col("nb") >= how.percent * F.col("na")))
-    likely = sized.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long")
     full = likely.join(text("b"), "b").join(text("a"), "a").select("a", "b", "ta", "tb")
     return full.mapInArrow(exact, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text", most_rounds: int = 8, pairs_a_class: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text", most_rounds: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
     Documents of equal shingle sets form a class; only one of each goes on.
@@ -170,47 +244,69 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "do
     null id orders before all others and comes back as null.  Rows of equal id
     and text have equal results; other columns go; an empty table gives none.
     """
-    rows = keyed(docs, id_col, text_col)
+    component = F.coalesce("component", "id")
+    return _resolved(keyed(docs, id_col, text_col), how, most_rounds).select(public_id().alias("doc_id"), F.col("n").alias("n_shingles"), F.when(component != F.lit(NULL_ID), component).alias("component_id"), (F.col("id") == component).alias("kept"))
+
+
+def keep_one_each(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text", most_rounds: int = 4) -> DataFrame:
+    """docs less near-duplicates: of each component the row of the smallest id stays.
+
+    Where several texts of a component bear that id, the one of the smallest
+    hash stays; repeated rows count once.  Documents without shingles stay.
+    All columns stay as they are.
+    """
+    found = _resolved(keyed(docs, id_col, text_col), how, most_rounds)
+    alone = found.where(F.col("n") == 0).select("key", "id").distinct()
+    best = found.where(F.col("n") > 0).groupBy("group").agg(F.min(F.struct("id", "key")).alias("x")).select("x.key", "x.id")
+    keep = alone.unionByName(best).withColumnsRenamed({"key": "__key", "id": "__id"})
+    rows = docs.withColumns({"__key": row_key(id_col, text_col), "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))})
+    return rows.join(keep, ["__key", "__id"], "left_semi").dropDuplicates(["__key", "__id"]).select(*docs.columns)
+
+
+def _resolved(rows: DataFrame, how: MinHash, most_rounds: int) -> DataFrame:
+    """(key, id, n, group, component) for rows of ``keyed``: group numbers the
+    component, component is its smallest id; both null without shingles."""
     signed = written(_signed(rows, how), "signatures")
     classes = signed.where(F.col("n") > 0).groupBy("s1", "s2").agg(F.min("id").alias("first_id"))
     # several classes may have one doc_id (repeated ids); their own number is a hash
     number = F.xxhash64("s1", "s2")
-    each = signed.where(F.col("n") > 0).withColumn("cid", number).select("cid", "n", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(how.bands - 1)).alias("band"), F.col("bands").alias("value"))).alias("x")).select("cid", F.col("x.value").alias("bucket"))
-    member = each.distinct()
-    often = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1).select("bucket")
-    buckets = written(member.join(often, "bucket"), "buckets")
-    taking = buckets.select("cid").distinct()
-    chosen = written(signed.where(F.col("n") > 0).withColumn("cid", number).join(taking, "cid").groupBy("cid").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    members = signed.where(F.col("n") > 0).withColumn("cid", number).dropDuplicates(["cid"])
+    each = members.select("cid", F.explode("bands").alias("bucket"))
+    often = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    shared = written(each.join(often, "bucket"), "shared-buckets")
+    buckets = written(shared.join(shared.groupBy("cid").agg(F.sum("size").alias("met")), "cid"), "buckets")
+    chosen = written(members.join(buckets.select("cid").distinct(), "cid").select("cid", "key", "n", "sketch"), "classes")
     texts = written(rows.join(chosen.select("cid", "key"), "key").select("cid", "text").dropDuplicates(["cid"]), "class-texts")
-    many = chosen.count()
 
-    links, label = None, None
-    for turn in range(most_rounds):
+    links, label, before = None, None, None
+    for turn in range(most_rounds + 1):
         placed = buckets.withColumn("label", F.col("cid")) if label is None else buckets.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         placed = written(placed, "placed")
-        if label is not None:
-            # pairs that stay open: all in a bucket less those within components
-            by_label = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
-            open_pairs = by_label.groupBy("bucket").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("open"), F.count(F.lit(1)).alias("labels")).where(F.col("labels") > 1)
-            left = open_pairs.agg(F.coalesce(F.sum("open"), F.lit(0.0)).alias("n")).first()["n"]
-            if left <= pairs_a_class * many or turn == most_rounds - 1:
-                some = placed.join(open_pairs.select("bucket"), "bucket")
-                other = some.select("bucket", F.col("cid").alias("b"), F.col("label").alias("other_label"))
-                pairs = some.select("bucket", F.col("cid").alias("a"), "label").join(other, "bucket").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other_label"))).select("a", "b").distinct()
-                more = written(_confirmed(pairs, chosen, texts, how), "links")
-                links = links.unionByName(more)
-                label = components(links).select(F.col("node").alias("cid"), "label")
-                break
-        rank = F.xxhash64("cid", F.lit(turn)) if turn else F.col("cid")
-        leader = placed.groupBy("bucket").agg(F.min(F.struct(rank.alias("r"), F.col("cid").alias("a"), F.col("label").alias("leader_label"))).alias("x")).select("bucket", "x.a", "x.leader_label")
-        pairs = placed.join(leader, "bucket").where(F.col("label") != F.col("leader_label")).select("a", F.col("cid").alias("b")).distinct()
-        more = written(_confirmed(pairs, chosen, texts, how), "links")
+        # pairs that stay open: all in a bucket less those within components
+        by_label = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+        open_pairs = by_label.groupBy("bucket").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("open"), F.count(F.lit(1)).alias("labels")).where(F.col("labels") > 1)
+        left = open_pairs.agg(F.coalesce(F.sum("open"), F.lit(0)).alias("n")).first()["n"]
+        last = turn == most_rounds or (before is not None and left > 0.75 * before)
+        before = left
+        if left and last:
+            likely = _likely_in_blocks(placed.join(open_pairs.select("bucket"), "bucket"), chosen, how)
+        elif left:
+            # first the member that meets most others: a copied text meets its
+            # copies more often than they meet each other; then any other one
+            rank = F.xxhash64("cid", F.lit(turn)) if turn else -F.col("met")
+            leader = placed.groupBy("bucket").agg(F.min(F.struct(rank.alias("r"), F.col("cid").alias("a"), F.col("label").alias("leader_label"))).alias("x")).select("bucket", "x.a", "x.leader_label")
+            likely = _likely_with_leader(placed, leader, chosen, how)
+        else:
+            break
+        more = written(_confirmed(likely, texts, how), "links")
         links = more if links is None else links.unionByName(more)
         label = components(links).select(F.col("node").alias("cid"), "label")
+        if last:
+            break
+    if label is None:
+        label = buckets.select("cid", F.col("cid").alias("label")).limit(0)
 
     owner = classes.select(number.alias("cid"), "first_id")
     merged = label.join(owner, "cid").groupBy("label").agg(F.min("first_id").alias("component"))
-    of_class = owner.join(label.join(merged, "label"), "cid", "left").select("cid", F.coalesce("component", "first_id").alias("component"))
-    found = signed.select("id", "n", F.when(F.col("n") > 0, number).alias("cid")).join(of_class, "cid", "left")
-    component = F.coalesce("component", "id")
-    return found.select(public_id().alias("doc_id"), F.col("n").alias("n_shingles"), F.when(component != F.lit(-(2**63)), component).alias("component_id"), (F.col("id") == component).alias("kept"))
+    of_class = owner.join(label.join(merged, "label"), "cid", "left").select("cid", F.coalesce("label", "cid").alias("group"), F.coalesce("component", "first_id").alias("component"))
+    return signed.select("key", "id", "n", F.when(F.col("n") > 0, number).alias("cid")).join(of_class, "cid", "left").select("key", "id", "n", "group", "component")
