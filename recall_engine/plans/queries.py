@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recall_engine.functions import text as T
@@ -19,7 +19,10 @@ from recall_engine.streaming.events import session_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-N = F.count(F.lit(1))
+
+
+def count() -> Column:
+    return F.count(F.lit(1))
 
 
 def query(*tables: str, sql: str | None = None):
@@ -65,17 +68,17 @@ def multi_query_topk(e):
 
 @query("documents", sql="SELECT count(*) AS chunks, count(DISTINCT doc_id) AS files, count(DISTINCT source) AS projects, max(n_chars) AS largest FROM documents")
 def index_stats(d):
-    return d.agg(N.alias("chunks"), F.countDistinct("doc_id").alias("files"), F.countDistinct("source").alias("projects"), F.max("n_chars").alias("largest"))
+    return d.agg(count().alias("chunks"), F.countDistinct("doc_id").alias("files"), F.countDistinct("source").alias("projects"), F.max("n_chars").alias("largest"))
 
 
 @query("documents", sql="SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 def lang_counts(d):
-    return d.groupBy("lang").agg(N.alias("n"))
+    return d.groupBy("lang").agg(count().alias("n"))
 
 
 @query("events", sql="SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def type_counts(e):
-    return e.groupBy("event_type").agg(N.alias("n"))
+    return e.groupBy("event_type").agg(count().alias("n"))
 
 
 @query("documents", sql="SELECT DISTINCT source FROM documents WHERE source <> ''")
@@ -85,7 +88,7 @@ def distinct_projects(d):
 
 @query("documents", sql="SELECT source, count(*) AS chunks, max(n_chars) AS largest, min_by(sha256(text), doc_id) AS first_hash FROM documents GROUP BY source")
 def file_rollup(d):
-    return d.groupBy("source").agg(N.alias("chunks"), F.max("n_chars").alias("largest"), F.min_by(F.sha2("text", 256), "doc_id").alias("first_hash"))
+    return d.groupBy("source").agg(count().alias("chunks"), F.max("n_chars").alias("largest"), F.min_by(F.sha2("text", 256), "doc_id").alias("first_hash"))
 
 
 _COVERAGE = "SELECT d.*, l.doc_id IS NOT NULL AS indexed, coalesce(l.quality, 1) = 0 AS pending FROM documents d LEFT JOIN labels l USING (doc_id)"
@@ -98,22 +101,22 @@ def _coverage(d, labels):
 @query("documents", "labels", sql=f"SELECT count(*) AS total, count(*) FILTER (indexed AND NOT pending) AS indexed, count(*) FILTER (pending) AS pending, count(*) FILTER (NOT indexed) AS missing, sum(n_chars)::BIGINT AS size, round(100.0 * count(*) FILTER (indexed AND NOT pending) / count(*), 4)::DOUBLE AS percent FROM ({_COVERAGE})")
 def coverage_totals(d, labels):
     done = F.count_if(F.col("indexed") & ~F.col("pending"))
-    return _coverage(d, labels).agg(N.alias("total"), done.alias("indexed"), F.count_if("pending").alias("pending"), F.count_if(~F.col("indexed")).alias("missing"), F.sum("n_chars").alias("size"), F.round(100 * done / N, 4).alias("percent"))
+    return _coverage(d, labels).agg(count().alias("total"), done.alias("indexed"), F.count_if("pending").alias("pending"), F.count_if(~F.col("indexed")).alias("missing"), F.sum("n_chars").alias("size"), F.round(100 * done / count(), 4).alias("percent"))
 
 
 @query("documents", "labels", sql=f"SELECT lang, count(*) AS total, count(*) FILTER (indexed) AS indexed FROM ({_COVERAGE}) GROUP BY lang")
 def coverage_by_lang(d, labels):
-    return _coverage(d, labels).groupBy("lang").agg(N.alias("total"), F.count_if("indexed").alias("indexed"))
+    return _coverage(d, labels).groupBy("lang").agg(count().alias("total"), F.count_if("indexed").alias("indexed"))
 
 
 @query("documents", "labels", sql=f"SELECT source, count(*) AS total, count(*) FILTER (indexed) AS indexed, count(*) FILTER (pending) AS pending FROM ({_COVERAGE}) GROUP BY source")
 def coverage_by_dir(d, labels):
-    return _coverage(d, labels).groupBy("source").agg(N.alias("total"), F.count_if("indexed").alias("indexed"), F.count_if("pending").alias("pending"))
+    return _coverage(d, labels).groupBy("source").agg(count().alias("total"), F.count_if("indexed").alias("indexed"), F.count_if("pending").alias("pending"))
 
 
 @query("documents", "labels", sql=f"SELECT lang, CASE WHEN 100 * i < 50 * n THEN 'low' WHEN 100 * i < 80 * n THEN 'medium' WHEN i = n THEN 'full' ELSE 'good' END AS coverage, p > 0 AS reindex FROM (SELECT lang, count(*) AS n, count(*) FILTER (indexed AND NOT pending) AS i, count(*) FILTER (pending) AS p FROM ({_COVERAGE}) GROUP BY lang)")
 def coverage_rules(d, labels):
-    c = _coverage(d, labels).groupBy("lang").agg(N.alias("n"), F.count_if(F.col("indexed") & ~F.col("pending")).alias("i"), F.count_if("pending").alias("p"))
+    c = _coverage(d, labels).groupBy("lang").agg(count().alias("n"), F.count_if(F.col("indexed") & ~F.col("pending")).alias("i"), F.count_if("pending").alias("p"))
     return c.select("lang", F.expr("CASE WHEN 100 * i < 50 * n THEN 'low' WHEN 100 * i < 80 * n THEN 'medium' WHEN i = n THEN 'full' ELSE 'good' END").alias("coverage"), (F.col("p") > 0).alias("reindex"))
 
 
@@ -122,7 +125,7 @@ def coverage_tree(p):
     parts = F.split(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", ""), "/", -1)
     rows = p.select(parts.alias("parts"), F.octet_length("html").alias("size")).where(F.size("parts") > 1)
     folders = rows.select("parts", "size", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("k"))
-    return folders.groupBy(F.array_join(F.slice("parts", 1, F.col("k")), "/").alias("folder")).agg(N.alias("files"), F.sum("size").alias("bytes"))
+    return folders.groupBy(F.array_join(F.slice("parts", 1, F.col("k")), "/").alias("folder")).agg(count().alias("files"), F.sum("size").alias("bytes"))
 
 
 _OLD = "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE md5(text) END AS old_hash FROM documents WHERE doc_id % 5 <> 0"
@@ -209,7 +212,7 @@ def bin_pack(c):
 
 @query("events", sql="SELECT user_id, count(*) AS n, min(ts) AS first, max(ts) AS last FROM events GROUP BY user_id")
 def session_summary(e):
-    return e.groupBy("user_id").agg(N.alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return e.groupBy("user_id").agg(count().alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
 
 @query("events", sql="SELECT event_type, event_id, r::INTEGER AS r FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 20")
@@ -225,7 +228,7 @@ def recent_events(e):
 
 @query("events", sql="SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY event_type")
 def retention(e):
-    return e.where("ts >= TIMESTAMP_NTZ '2024-01-15 00:00:00'").groupBy("event_type").agg(N.alias("n"))
+    return e.where("ts >= TIMESTAMP_NTZ '2024-01-15 00:00:00'").groupBy("event_type").agg(count().alias("n"))
 
 
 @query("events", sql="SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -251,7 +254,7 @@ def orphan_locks(c, o):
 
 @query("orders", sql="SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY o_custkey")
 def open_tasks(o):
-    return o.where(F.col("o_orderstatus").isin("O", "P")).groupBy("o_custkey").agg(N.alias("n"))
+    return o.where(F.col("o_orderstatus").isin("O", "P")).groupBy("o_custkey").agg(count().alias("n"))
 
 
 @query("part", sql="SELECT p_partkey FROM part WHERE contains(lower(p_name), 'a') AND contains(lower(p_type), 'e')")
@@ -300,12 +303,12 @@ def budget_prefix(c):
 
 @query("events", sql="SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
 def json_extract(e):
-    return e.groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(N.alias("n"))
+    return e.groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(count().alias("n"))
 
 
 @query("pages", sql="SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host, bool_or(contains(url, '.html')) AS has_html, count(*) > 5 AS many FROM pages GROUP BY 1")
 def doc_selection(p):
-    return p.groupBy(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("host")).agg(F.bool_or(F.col("url").contains(".html")).alias("has_html"), (N > 5).alias("many"))
+    return p.groupBy(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("host")).agg(F.bool_or(F.col("url").contains(".html")).alias("has_html"), (count() > 5).alias("many"))
 
 
 @query("conversations", sql="SELECT role, round(sum(ceil(length(text) / 4.0)) * 0.003 / 1000, 6)::DOUBLE AS cost FROM conversations GROUP BY role")
