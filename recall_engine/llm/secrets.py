@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recall_engine.llm.stage import keyed, public_id
+from recall_engine.llm.stage import keyed, public_id, written
 
 #: (kind, pattern, least length, group whose length counts).  Base kinds first,
 #: in the order in which spans of equal start are listed.
@@ -102,7 +102,7 @@ def scan_secrets(docs: DataFrame, linking: Linking = Linking(), id_col: str = "d
     Spans of one document are gathered in its row, never those of many.
     """
     rows = keyed(docs, id_col, text_col)
-    spans = linked_spans(find_spans(rows), linking)
+    spans = linked_spans(written(find_spans(rows), "spans"), linking)
     counts = [F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k, *_ in BASE]
     found = spans.groupBy("key", "id").agg(*counts, F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("found"))
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
@@ -126,7 +126,7 @@ def redact(docs: DataFrame, linking: Linking = Linking(), mark: str = "[SECRET]"
     without spans, null ones included, stay as they are.
     """
     rows = docs.withColumns({"__key": F.xxhash64(id_col, text_col), "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))})
-    spans = linked_spans(find_spans(keyed(docs, id_col, text_col)), linking)
+    spans = linked_spans(written(find_spans(keyed(docs, id_col, text_col)), "spans"), linking)
     per = Window.partitionBy("key", "id").orderBy("start", "end")
     before = per.rowsBetween(Window.unboundedPreceding, -1)
     run = F.sum(F.when(F.col("start") < F.coalesce(F.col("reach"), F.lit(-1)), 0).otherwise(1)).over(per.rowsBetween(Window.unboundedPreceding, 0))
