@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,14 +37,30 @@ class Capacity:
     round_pieces: int = 16_384
 
 
-def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, *, tokens: int = 1024, keeps_space: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_pieces(
+    docs: DataFrame,
+    vocabulary: str,
+    end_id: int,
+    *,
+    tokens: int = 1024,
+    keeps_space: bool = True,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    measures: dict[str, Callable[[np.ndarray], int]] | None = None,
+    with_ids: bool = True,
+) -> DataFrame:
     """(doc_id, piece, start, length, ids): each whole text's ids and ``end_id``.
 
+    ``measures`` adds a long column for each function of a piece's uint32 ids,
+    computed where the piece is made; without ``with_ids`` the ids stay there.
+
     Only documents of more than ``tokens`` ids are cut: into full pieces, the
     first one shorter where the count is no multiple.  Null text counts as
     empty (its one piece holds the end id), null ids stay null, repeated rows
     give repeated pieces, an empty table none; other columns go.
     """
+    measures = measures or {}
+    schema = "doc_id long, piece int, start long, length long" + (", ids array<int>" if with_ids else "") + "".join(f", `{name}` long" for name in measures)
 
     def run(batches):
         encoder = unit_encoder(vocabulary, keeps_space)
@@ -61,12 +78,19 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, *, tokens: int = 1
                     start.append(at)
                     parts.append(ids[at:to])
                     at, k = to, k + 1
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) for x in parts], pa.int64()), id_lists(parts)],
-                ["doc_id", "piece", "start", "length", "ids"],
-            )
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids array<int>")
+            columns = {
+                "doc_id": batch.column(0).take(pa.array(owner, pa.int64())),
+                "piece": pa.array(piece, pa.int32()),
+                "start": pa.array(start, pa.int64()),
+                "length": pa.array([len(x) for x in parts], pa.int64()),
+            }
+            if with_ids:
+                columns["ids"] = id_lists(parts)
+            for name, measure in measures.items():
+                columns[name] = pa.array([measure(x) for x in parts], pa.int64())
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarray]:

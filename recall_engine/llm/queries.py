@@ -5,11 +5,10 @@ Each callable takes (spark, sf_dir) and returns a DataFrame.
 
 from __future__ import annotations
 
-import public_tokenizers
-import pyarrow as pa
 import zlib
 
 import numpy as np
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,21 +44,13 @@ def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.cut_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
-    return packing.pack(with_crc(pieces).drop("ids")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
-
-
-def with_crc(rows: DataFrame, ids: str = "ids") -> DataFrame:
-    """Adds ids_crc32 of the ids as little-endian unsigned 32-bit integers."""
+    pieces = packing.cut_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2, measures={"ids_crc32": ids_crc32}, with_ids=False)
+    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
-    def run(batches):
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids))
-            ends, flat = np.asarray(column.offsets), np.asarray(column.values).astype("<u4")
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(crc, pa.int64())], [*batch.schema.names, "ids_crc32"])
 
-    return rows.mapInArrow(run, rows.withColumn("ids_crc32", F.lit(0).cast("long")).schema)
+def ids_crc32(ids: np.ndarray) -> int:
+    """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
+    return zlib.crc32(ids.astype("<u4").tobytes())
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
