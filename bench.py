@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from recall_engine.plans.queries import QUERIES
+from recall_engine.plans import QUERIES
 
 HEADLINE = ["vector_topk", "multi_query_topk", "file_rollup", "coverage_totals", "coverage_tree", "changed_files", "project_fingerprint", "fuzzy_dedup", "line_chunks", "session_summary", "events_by_type_last_n", "latest_state", "budget_prefix"]
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recall_engine.functions.text import chunk_id, token_count
+from recall_engine.operators.folds import ordered_fold
 
 
 def pack_lines(lines: list[str], most: int, overlap: int) -> Iterator[tuple[int, int, str]]:
@@ -41,17 +42,20 @@ def line_chunks(files: DataFrame, most: int = 6000, overlap: int = 200, id_col:
     return cut.withColumns({"token_count": token_count(F.col("content")), "id": chunk_id(F.col("file_path"), F.col("start_line"), F.col("content"))})
 
 
-def greedy_batches(rows: DataFrame, most: int, by: str, order: str, cost: str) -> DataFrame:
+def budget_batches(rows: DataFrame, most: int, by: str, order: str, cost: str) -> DataFrame:
     """Adds ``batch`` (from 0 in each ``by``): rows in order join while their cost
-    stays within ``most``; a fold over the ordered costs of each group."""
-    costs = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("long").alias("c")))), lambda x: x)
-    start = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).alias("batch"), F.array().cast("array<struct<o:bigint,batch:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        over = (s["size"] + x["c"] > most) & (s["size"] > 0)
-        batch = F.when(over, s["batch"] + 1).otherwise(s["batch"])
-        size = F.when(over, x["c"]).otherwise(s["size"] + x["c"])
-        return F.struct(size.alias("size"), batch.alias("batch"), F.concat(s["out"], F.array(F.struct(x["o"].cast("long").alias("o"), batch.alias("batch")))).alias("out"))
-
-    folded = rows.groupBy(by).agg(costs.alias("costs")).select(by, F.explode(F.aggregate("costs", start, step)["out"]).alias("x"))
-    return folded.select(by, F.col("x.o").alias(order), F.col("x.batch").alias("batch"))
+    stays within ``most``; a costlier row is a batch of its own."""
+
+    def step(state, row):
+        size, batch = state
+        c = int(getattr(row, cost))
+        if size and size + c > most:
+            size, batch = 0, batch + 1
+        return (size + c, batch), (batch,)
+
+    return ordered_fold(rows, [by], [order], "batch int", lambda: (0, 0), step)
+
+
+def greedy_batches(rows: DataFrame, most: int, by: str, order: str, cost: str) -> DataFrame:
+    """(by, order, batch) of budget_batches."""
+    return budget_batches(rows.select(by, order, F.col(cost).cast("long").alias(cost)), most, by, order, cost).select(by, order, "batch")

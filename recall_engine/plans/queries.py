@@ -8,35 +8,14 @@ registry cards, pages files with paths.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recall_engine.functions import text as T
 from recall_engine.operators import chunking, vectors
+from recall_engine.plans.registered import count, query
 from recall_engine.streaming.events import session_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def count() -> Column:
-    return F.count(F.lit(1))
-
-
-def query(*tables: str, sql: str | None = None):
-    """Registers a function of the named tables."""
-
-    def put(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables))
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
 _DISTANCE = "list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: (e.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) * (e.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE)))"
 _RANKED = f"SELECT e.vec_id, e.label, {_DISTANCE} AS d FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
 

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from recall_engine.plans.queries import ORACLES, QUERIES
+from recall_engine.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
