@@ -27,14 +27,14 @@ def section(text: Column, title: str) -> Column:
 def checklist(text: Column, done: bool) -> Column:
     """Titles of a section's ticked or open items, in order."""
     mark = "[xX]" if done else " "
-    return F.transform(F.regexp_extract_all(text, F.lit(rf"(?m)^[-*] \[{mark}\][ \t]+(\S.*)$"), 1), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"(?m)^[-*] \[{mark}\][ \t]+(\S.*)$"), 1), lambda x: F.trim(x))
 
 
 def table_rows(text: Column) -> Column:
     """Cells of each row of a table, without its head and rule."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.startswith("|"))
     body = F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0)))
-    return F.transform(body, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|\s*$", ""), r"\|", -1), F.trim))
+    return F.transform(body, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|\s*$", ""), r"\|", -1), lambda y: F.trim(y)))
 
 
 def render_checklist(rows: DataFrame, by: str, title: str, done: str, order: str) -> DataFrame:
