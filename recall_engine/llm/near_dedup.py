@@ -26,15 +26,15 @@ class MinHash:
 
     A pair at 80 % misses all 48 bands of 6 with a chance of 5e-7.
     sketch: coordinates kept as bytes to drop pairs that only met by chance:
-    at 80 % fewer than sketch_least of 128 agree with a chance of 1e-8.
+    at 80 % fewer than sketch_least of 288 agree with a chance of 1e-8.
     """
 
     words: int = 5
     percent: int = 80
     bands: int = 48
     rows: int = 6
-    sketch: int = 128
-    sketch_least: int = 76
+    sketch: int = 288
+    sketch_least: int = 190
     seed: int = 11
     #: Members of a bucket that one comparison of blocks takes from each side.
     block: int = 1024
