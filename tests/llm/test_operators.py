@@ -101,6 +101,29 @@ def test_substring_dedup(docs, empty, most, monkeypatch):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("low", [1024, 64])
+def test_near_duplicates_in_blocks(spark, low):
+    """All buckets go through blocks, of whole sets and of cut ones; loose bands make pairs that aren't links."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(24):
+        w = [f"w{i}" for i in range(200)]
+        for i in rng.choice(200, k, replace=False):
+            w[i] = f"z{k}-{i}"
+        rows.append((k, " ".join(w)))
+    how = near_dedup.MinHash(words=2, block=5, low=low, low_percent=72 if low == 1024 else 40)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), how, most_rounds=0).collect()}
+    sets = [near_dedup.word_shingles(t, 2) for _, t in rows]
+    label = list(range(24))
+    for _ in rows:
+        for a in range(24):
+            for b in range(24):
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert 1 < len(set(label)) < 24
+    assert got == dict(enumerate(label))
+
+
 def test_near_duplicates(spark, docs, empty):
     words = [f"w{i}" for i in range(300)]
     family = [(100 + k, " ".join("z%d" % k if i % 60 == k else w for i, w in enumerate(words))) for k in range(12)]
