@@ -18,7 +18,7 @@ BASE = [
 ]
 #: Weak kinds: too common to report alone.
 WEAK = [
-    ("key_part", r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])", 40, 0),
+    ("key_part", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])", 40, 0),
     ("endpoint", r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~/?#&=%+-]*)?", 11, 0),
 ]
 
@@ -69,13 +69,14 @@ def find_spans(rows: DataFrame, kinds=(*BASE, *WEAK)) -> DataFrame:
 
 def _near(weak: DataFrame, anchors: DataFrame, scope: int) -> DataFrame:
     """The weak spans with an anchor within ``scope`` code points: an interval
-    join on scope-wide bins that keeps rows of the left side only."""
+    join on scope-wide bins that keeps rows of the left side only.  Spans lie in
+    every bin from start to end, and those met in several are kept once."""
     bins = anchors.select(F.col("key").alias("k"), F.col("id").alias("i"), F.col("start").alias("s"), F.col("end").alias("e")).withColumn(
         "bin", F.explode(F.sequence(F.floor((F.col("s") - scope) / scope), F.floor((F.col("e") + scope) / scope)))
     )
-    left = weak.withColumn("bin", F.floor(F.col("start") / scope))
+    left = weak.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))))
     near = (F.col("start") <= F.col("e") + scope) & (F.col("end") >= F.col("s") - scope)
-    return left.join(bins, (F.col("key") == F.col("k")) & (F.col("id") == F.col("i")) & (left["bin"] == bins["bin"]) & near, "left_semi").drop("bin")
+    return left.join(bins, (F.col("key") == F.col("k")) & (F.col("id") == F.col("i")) & (left["bin"] == bins["bin"]) & near, "left_semi").drop("bin").dropDuplicates(["key", "id", "rank", "start"])
 
 
 def linked_spans(spans: DataFrame, linking: Linking = Linking()) -> DataFrame:
