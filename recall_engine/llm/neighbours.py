@@ -84,22 +84,30 @@ def _hashed(rows: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
 
 
 def _nearest(queries: np.ndarray, rows: np.ndarray, query_id: np.ndarray, vec_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, cosine) of the k best rows of each query in a block.
+    """(query_id, vec_id, cosine) of the k best ids of each query in a block,
+    each with the best of its rows.
 
     A matrix product finds who may be among them; their cosines are then
     computed one by one, so that equal vectors have equal scores.
     """
+    by_id = np.argsort(vec_id, kind="stable")
+    rows, vec_id = rows[by_id], vec_id[by_id]
+    first = np.flatnonzero(np.diff(vec_id, prepend=vec_id[:1] - 1))
     nq, nr = np.sqrt((queries * queries).sum(axis=1)), np.sqrt((rows * rows).sum(axis=1))
     out = []
     for at in range(0, len(queries), 256):
         part = slice(at, at + 256)
         about = (queries[part] @ rows.T) / (nq[part, None] * nr)
         about[query_id[part, None] == vec_id] = -np.inf
-        line = np.partition(about, -k, axis=1)[:, -k] if len(rows) > k else np.full(len(about), -2.0)
+        once = about if len(first) == len(rows) else np.maximum.reduceat(about, first, axis=1)
+        line = np.partition(once, -k, axis=1)[:, -k] if len(first) > k else np.full(len(about), -2.0)
         i, j = np.nonzero(about >= np.maximum(line[:, None] - 1e-9, -2.0))
         score = np.concatenate([(queries[part][i[a : a + 65536]] * rows[j[a : a + 65536]]).sum(axis=1) for a in range(0, len(i), 65536)] or [np.zeros(0)]) / (nq[part][i] * nr[j])
         order = np.lexsort((vec_id[j], -score, i))
         i, j, score = i[order], j[order], score[order]
+        if len(first) < len(rows):
+            best = np.sort(np.unique(np.stack([i, vec_id[j]]), axis=1, return_index=True)[1])
+            i, j, score = i[best], j[best], score[best]
         rank = np.arange(len(i)) - np.searchsorted(i, i)
         best = rank < k
         out.append((query_id[part][i[best]], vec_id[j[best]], score[best]))
@@ -160,8 +168,10 @@ def nearest(rows: DataFrame, queries: DataFrame, *, k: int = 5, tables: int = 12
     def read(df: DataFrame) -> DataFrame:
         return df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
 
-    indexed = written(_hashed(read(rows), tables, 1, seed), "vectors")
-    asked = written(_hashed(read(queries), tables, probes, seed), "vector-queries")
+    # copies of a row would take the places of other rows
+    once = ["vec_id", "embedding"]
+    indexed = written(_hashed(read(rows).dropDuplicates(once), tables, 1, seed), "vectors")
+    asked = written(_hashed(read(queries).dropDuplicates(once), tables, probes, seed), "vector-queries")
     first = written(_best(_compare(_spread(indexed, tables), _spread(asked, tables), k), k), "neighbours")
     enough = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
     short = asked.join(enough, "vec_id", "left_anti").select("vec_id", "embedding", "dim", F.lit(0).alias("table"), F.explode(F.sequence(F.lit(0), 4 * F.col("dim") + 3)).alias("axis"))

@@ -223,6 +223,25 @@ def test_neighbours(spark):
     assert (got.groupby("query_id").size() == 5).all() and 2000 not in set(got.query_id)
 
 
+def test_neighbours_of_repeated_rows(spark):
+    """Rows of equal id, copies or not, count as one and take one place."""
+    x = np.random.default_rng(4).standard_normal((60, 8)).astype(np.float32)
+    shape = "vec_id long, embedding array<float>"
+    once = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], shape)
+    copies = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x) for _ in range(6)], shape)
+    few = once.where("vec_id % 10 = 0")
+    want = sorted(map(tuple, neighbours.nearest(once, few).collect()))
+    assert want == sorted(map(tuple, neighbours.nearest(copies, few.union(few)).collect()))
+    # six rows an id, none equal: the best of each counts
+    ids, rows = np.tile(np.arange(60), 6), np.concatenate([x + 0.001 * k for k in range(6)]).astype(float)
+    got = list(zip(*neighbours._nearest(x[:7].astype(float), rows, np.arange(7), ids, 5), strict=True))
+    for q in range(7):
+        score = rows @ x[q] / np.linalg.norm(rows, axis=1) / np.linalg.norm(x[q].astype(float))
+        best = sorted((-score[ids == i].max(), i) for i in range(60) if i != q)[:5]
+        assert [v for i, v, _ in got if i == q] == [i for _, i in best]
+        assert np.allclose([s for i, _, s in got if i == q], [-s for s, _ in best])
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
