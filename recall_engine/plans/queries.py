@@ -152,6 +152,12 @@ def normalize_text(d):
     return d.where(F.col("text").rlike("^[\\x00-\\x7F]*$")).select("doc_id", F.md5(T.normalize_text(F.col("text"))).alias("normal"))
 
 
+@query("documents")
+def normalize_text_all(d):
+    """Every document, those with other characters than ASCII and null texts too."""
+    return d.select("doc_id", F.md5(T.normalize_text(F.col("text"))).alias("normal"))
+
+
 @query("pages", sql="SELECT page_id, regexp_extract(url, '([^/?#]*)([?#].*)?$', 1) AS base, lower(regexp_extract(regexp_extract(url, '([^/?#]*)([?#].*)?$', 1), '[^/]\\.([^./]+)$', 1)) AS ext FROM pages")
 def path_parts(p):
     base = F.regexp_extract("url", "([^/?#]*)([?#].*)?$", 1)

@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 import duckdb
 import pytest
 
@@ -28,3 +31,14 @@ def test_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_without_sql_has_rows(spark, name):
     assert QUERIES[name](spark, SF).count()
+
+
+def test_normalize_text_all(spark, tmp_path):
+    """A row for every document, equal to Python's case folding and the Unicode class of white space."""
+    awkward = [(-1, None), (-2, ""), (-3, " \u00c9T\u00c9\u00a0\u2003\u3000Stra\u00dfe\u0085\u2028\u0130X \u039f\u03a3 "), (-4, "a\x0b\x1cb\u200bC\ufeff")]
+    spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(awkward, "doc_id long, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").collect()
+    space = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+    want = [(i, None if t is None else hashlib.md5(re.sub(space, " ", t.lower().strip(" ")).encode()).hexdigest()) for i, t in docs]
+    got = [tuple(r) for r in QUERIES["normalize_text_all"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and any(not (t or "").isascii() for _, t in docs)
