@@ -3,6 +3,9 @@ fingerprint, and summaries by map and reduce."""
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -87,35 +90,108 @@ def render_prompt(template: str, values: dict[str, Column]) -> Column:
 
 
 def first_characters(most: int = 500) -> Summarise:
-    """The summary that needs no model."""
+    """The start of a text, for previews: what follows leaves no trace."""
     return lambda text: text[:most]
 
 
+_SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
+_WORD = re.compile(r"\w{4,}")
+
+
+def _frequencies(text: str) -> Counter:
+    return Counter(_WORD.findall(text.lower()))
+
+
+def _fitted(parts: list[str], scores: list[float], most: int) -> list[str]:
+    """The best parts that fit into ``most`` characters with spaces between them, in order."""
+    kept, left = [], most + 1
+    for k in sorted(range(len(parts)), key=lambda k: (-scores[k], k)):
+        if len(parts[k]) < left:
+            kept.append(k)
+            left -= len(parts[k]) + 1
+    return [parts[k] for k in sorted(kept)]
+
+
+class Extract:
+    """A summary without a model: whole sentences of the text, those whose words
+    of four letters and more are the most frequent, in one line.
+
+    Where no sentence of at least half the best score fits, the best words of
+    the best sentence stand for it, one at least.
+    """
+
+    def __init__(self, most: int = 500):
+        self.most = most
+
+    def __call__(self, text: str) -> str:
+        return self._line(text, _frequencies(text), self.most)
+
+    def batch(self, text: str) -> str:
+        """A summary of joined summaries: each line has a share of the
+        characters, what short lines don't need goes to the others, and no line
+        goes without a word.  Words count the less the more lines hold them."""
+        lines = [x for x in text.split("\n") if x.strip()]
+        own = [_frequencies(x) for x in lines]
+        held = Counter(w for x in own for w in x)
+        left, shares = self.most + 1, {}
+        for n, k in enumerate(sorted(range(len(lines)), key=lambda k: len(lines[k]))):
+            shares[k] = min(len(lines[k]), left // (len(lines) - n) - 1)
+            left -= shares[k] + 1
+        often = [Counter({w: n * math.log(1 + len(lines) / held[w]) for w, n in x.items()}) for x in own]
+        return "\n".join(self._line(x, often[k], shares[k]) for k, x in enumerate(lines))
+
+    def _line(self, text: str, often: Counter, most: int) -> str:
+        whole = " ".join(text.split())
+        if len(whole) <= most:
+            return whole
+        parts = list(dict.fromkeys(y for x in _SENTENCE.findall(text) if (y := " ".join(x.split()))))
+        weights = [sum(often[w] for w in words) / len(words) if (words := _WORD.findall(x.lower())) else 0.0 for x in parts]
+        kept = _fitted(parts, weights, most)
+        top = max((w for x, w in zip(parts, weights, strict=True) if len(x) <= most), default=-1.0)
+        if 2 * top < max(weights, default=0.0) or not kept:
+            words = list(dict.fromkeys((parts[max(range(len(parts)), key=weights.__getitem__)] if parts else whole).split()))
+            weights = [max((often[w] for w in _WORD.findall(x.lower())), default=0) for x in words]
+            kept = _fitted(words, weights, most) or [words[max(range(len(words)), key=weights.__getitem__)][: max(most, 20)]]
+        return " ".join(kept)
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint, so that rounds don't repeat each other's plans; a
+    local one where the session has no folder for them."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def summarise_to_budget(chunks: DataFrame, summarise: Summarise, *, threshold: int = 100_000, most: int = 80_000, depth: int = 3, by: str = "project_id") -> DataFrame:
     """(by, seq, path, content): chunks whose tokens fit a prompt.
 
     Keys within ``threshold`` tokens keep their chunks.  In each of at most
     ``depth`` rounds the others are cut into batches of ``most`` tokens, each
     chunk of a batch is summarised where it lies, and a batch's summaries
-    become one chunk.  Keys still too large then keep the first 500 characters
-    of each chunk.
+    become one chunk.  From the second round on chunks are joined summaries, and
+    ``summarise.batch`` is used if there is one.  Keys still too large then keep
+    an Extract of about 500 characters of each chunk, with a share for each line.
     """
     rows = chunks.select(by, "seq", "path", F.coalesce("content", F.lit("")).alias("content"))
 
-    def summaries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(content=[summarise(x) for x in frame["content"]])
+    def each(shorten: Summarise) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                yield frame.assign(content=[shorten(x) for x in frame["content"]])
+
+        return run
 
     def large(x: DataFrame) -> DataFrame:
         return x.groupBy(by).agg(F.sum(token_count(F.col("content"))).alias("_tokens")).where(F.col("_tokens") > threshold).select(by)
 
-    for _ in range(depth):
+    for k in range(depth):
         over = large(rows)
         costs = rows.join(over, by).withColumn("cost", token_count(F.col("content")) + token_count(F.col("path")) + 20)
         dealt = budget_batches(costs, most, by, "seq", "cost").drop("cost")
-        short = dealt.mapInPandas(summaries, dealt.schema)
+        short = dealt.mapInPandas(each(getattr(summarise, "batch", summarise) if k else summarise), dealt.schema)
         parts = F.array_sort(F.collect_list(F.struct("seq", "content")))
         joined = short.groupBy(by, "batch").agg(F.array_join(F.transform(parts, lambda x: x["content"]), "\n").alias("content"))
         rows = rows.join(over, by, "left_anti").unionByName(joined.select(by, F.col("batch").cast("long").alias("seq"), F.lit("summary").alias("path"), "content"))
-    over = large(rows).withColumn("_over", F.lit(True))
-    return rows.join(over, by, "left").withColumn("content", F.when(F.col("_over"), F.substring("content", 1, 500)).otherwise(F.col("content"))).drop("_over")
+        rows = _settled(rows)
+    over, last = large(rows), Extract(500)
+    cut = rows.join(over, by).select(*rows.columns)
+    return rows.join(over, by, "left_anti").unionByName(cut.mapInPandas(each(last.batch if depth else last), cut.schema))

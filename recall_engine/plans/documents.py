@@ -81,7 +81,7 @@ def prompts(c):
 def summaries(d):
     """Chunks of each source, summarised until they fit a prompt of 20,000 tokens."""
     rows = d.select(F.col("source").alias("project_id"), F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
-    out = knowledge.summarise_to_budget(rows, knowledge.first_characters(2000), threshold=20_000, most=10_000)
+    out = knowledge.summarise_to_budget(rows, knowledge.Extract(2000), threshold=20_000, most=10_000)
     return out.select("project_id", "seq", F.length("content").alias("n_chars"))
 
 

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +143,15 @@ def test_summaries_fit(spark):
     out = knowledge.summarise_to_budget(rows, knowledge.first_characters(400), threshold=1000, most=2000)
     got = {r.project_id: (r.n, r.c) for r in out.groupBy("project_id").agg(F.count("seq").alias("n"), F.sum(F.length("content")).alias("c")).collect()}
     assert got["q"] == (2, 5) and got["p"][1] <= 4000
+
+
+def test_summaries_leave_a_trace_of_every_document(spark):
+    """Each document's sentence of frequent words stands at its end, and all meet in few batches."""
+    rows = [("p", i, "f", f"Filler goes ahead. {'x y z. ' * 60}The topic{i} topic{i} topic{i} matters.") for i in range(120)]
+    table = spark.createDataFrame(rows, "project_id string, seq long, path string, content string")
+    for depth in (1, 3):
+        out = knowledge.summarise_to_budget(table, knowledge.Extract(200), threshold=1500, most=2000, depth=depth)
+        text = " ".join(r.content for r in out.collect())
+        assert all(re.search(rf"\btopic{i}\b", text) for i in range(120)) and len(text) <= 4 * 1500
+    assert knowledge.Extract(10)("") == "" and knowledge.Extract(10).batch("\n") == ""
+    assert knowledge.Extract(30)("One is here. A word word word. Another.") == "One is here. A word word word."
