@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recall_engine.llm.stage import written
+from recall_engine.llm.stage import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,6 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("new"))
         jump = hooked.select(F.col("node").alias("new"), F.col("new").alias("further"))
         moved = written(hooked.join(jump, "new", "left").select("node", "old", F.least("new", F.coalesce("further", "new")).alias("label")), "labels")
-        labels = moved.select("node", "label")
+        discard(labels)
+        labels = moved
         if moved.where(F.col("old") != F.col("label")).isEmpty():
-            return labels
+            discard(both)
+            return labels.select("node", "label")

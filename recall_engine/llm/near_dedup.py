@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recall_engine.llm.components import components
-from recall_engine.llm.stage import NULL_ID, keyed, public_id, row_key, written
-from recall_engine.llm.textcols import Words, mix, prefix_hash, slices, span_hash
+from recall_engine.llm.stage import NULL_ID, discard, keyed, public_id, row_key, written
+from recall_engine.llm.textcols import Words, chained, mix, slices
 
 #: ASCII letters to lower case, and the separators of words.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -44,28 +44,34 @@ class MinHash:
     low_percent: int = 72
 
 
-def shingle_hashes(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(values, ends): sorted distinct 64-bit shingle hashes of every row.
+def shingle_hashes(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, others, ends): the distinct shingles of every row as two 64-bit
+    hashes, which come from the two halves of the words' 128-bit ones, sorted by
+    the first.
 
     A text of fewer words has its whole sequence as its one shingle; one
     without words has none."""
     w = Words(column, lower=True)
-    prefix = prefix_hash(w.hashes())
+    halves = w.hashes()
     rows = len(w.count)
     n = len(w.row)
     at = np.flatnonzero(w.row[words - 1 :] == w.row[: n - words + 1]) if n >= words else np.zeros(0, np.int64)
-    value, row = span_hash(prefix, at, at + words), w.row[at]
-    few = np.flatnonzero((w.count > 0) & (w.count < words))
-    if len(few):
-        value = np.concatenate([value, span_hash(prefix, w.first[few], w.first[few + 1]) ^ w.count[few].astype(np.uint64)])
-        row = np.concatenate([row, few])
+    owners = [w.row[at]]
+    found = [[chained([half[at + k] for k in range(words)])] for half in halves.T]
+    for size in range(1, words):
+        few = np.flatnonzero(w.count == size)
+        owners.append(few)
+        for half, parts in zip(halves.T, found, strict=True):
+            parts.append(mix(chained([half[w.first[few] + k] for k in range(size)]) + np.uint64(size)))
+    row = np.concatenate(owners)
+    value, other = (np.concatenate(parts) for parts in found)
     order = np.lexsort((value, row))
-    value, row = value[order], row[order]
+    value, other, row = value[order], other[order], row[order]
     if len(value):
         new = np.ones(len(value), bool)
-        new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
-        value, row = value[new], row[new]
-    return value, np.searchsorted(row, np.arange(rows + 1))
+        new[1:] = (value[1:] != value[:-1]) | (other[1:] != other[:-1]) | (row[1:] != row[:-1])
+        value, other, row = value[new], other[new], row[new]
+    return value, other, np.searchsorted(row, np.arange(rows + 1))
 
 
 def circulant_signatures(values: np.ndarray, ends: np.ndarray, size: int, seed: int) -> np.ndarray:
@@ -102,17 +108,17 @@ def circulant_signatures(values: np.ndarray, ends: np.ndarray, size: int, seed:
 
 
 def _signed(docs: DataFrame, how: MinHash) -> DataFrame:
-    """(key, id, n, s1, s2, bands, sketch) for every document; s1 and s2 digest the set."""
+    """(key, id, n, s1, s2, bands, sketch) for every document; s1 and s2 are the
+    xxh3-128 of the whole set, as 128-bit hashes of its shingles."""
 
     def run(batches):
         for batch in slices(batches):
-            values, ends = shingle_hashes(batch.column(2), how.words)
+            values, others, ends = shingle_hashes(batch.column(2), how.words)
             signature = circulant_signatures(values, ends, how.bands * how.rows, how.seed)
-            raw = values.tobytes()
-            digest = np.array([divmod(xxhash.xxh3_128_intdigest(raw[8 * a : 8 * b]), 1 << 64) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], np.uint64).reshape(-1, 2).view(np.int64)
-            joined = prefix_hash(np.ascontiguousarray(signature).ravel().astype(np.uint64))
-            first = np.arange(0, signature.size, how.rows)
-            band = (span_hash(joined, first, first + how.rows).reshape(len(signature), how.bands) + mix(np.arange(1, how.bands + 1, dtype=np.uint64))).view(np.int64)
+            raw = np.stack([values, others], axis=1).tobytes()
+            digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[16 * a : 16 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]), np.int64).reshape(-1, 2)
+            wide = signature.astype(np.uint64).reshape(len(signature), how.bands, how.rows)
+            band = (chained([wide[:, :, k] for k in range(how.rows)]) + mix(np.arange(1, how.bands + 1, dtype=np.uint64))).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(band) + 1, dtype=np.int32) * how.bands), pa.array(band.ravel()))
             sketch = [x.tobytes() for x in (signature[:, : how.sketch] & 0xFF).astype(np.uint8)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends).astype(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), lists, pa.array(sketch, pa.binary())], ["key", "id", "n", "s1", "s2", "bands", "sketch"])
@@ -138,7 +144,7 @@ def _low_hashes(texts: DataFrame, how: MinHash) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches):
-            values, ends = shingle_hashes(batch.column(1), how.words)
+            values, _, ends = shingle_hashes(batch.column(1), how.words)
             short = (mix(values) >> np.uint64(32)).astype(np.uint32)
             lows = [np.sort(short[a:b])[: how.low].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lows, pa.binary())], ["cid", "low"])
@@ -312,6 +318,7 @@ def _resolved(rows: DataFrame, how: MinHash, most_rounds: int) -> DataFrame:
     often = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     shared = written(each.join(often, "bucket"), "shared-buckets")
     buckets = written(shared.join(shared.groupBy("cid").agg(F.sum("size").alias("met")), "cid"), "buckets")
+    discard(shared)
     chosen = written(members.join(buckets.select("cid").distinct(), "cid").select("cid", "key", "n", "sketch"), "classes")
     texts = written(rows.join(chosen.select("cid", "key"), "key").select("cid", "text").dropDuplicates(["cid"]), "class-texts")
 
@@ -334,8 +341,10 @@ def _resolved(rows: DataFrame, how: MinHash, most_rounds: int) -> DataFrame:
             leader = placed.groupBy("bucket").agg(F.min(F.struct(rank.alias("r"), F.col("cid").alias("a"), F.col("label").alias("leader_label"))).alias("x")).select("bucket", "x.a", "x.leader_label")
             likely = _likely_with_leader(placed, leader, chosen, how)
         else:
+            discard(placed)
             break
         more = written(_confirmed(likely, texts, how), "links")
+        discard(placed)
         links = more if links is None else links.unionByName(more)
         label = components(links).select(F.col("node").alias("cid"), "label")
         if last:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recall_engine.llm.textcols import Words, prefix_hash, slices, span_hash
+from recall_engine.llm.textcols import Words, binary_numbers, sequence_numbers, slices
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars_all", "n_upper", "n_digits", "n_stops", "n_distinct_words", "n_lines"]
 #: Ratios that the trees see.  The sign says how the chance of a bad document
@@ -46,11 +46,12 @@ def _distinct(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
 
 
 def count_statistics(column: pa.Array) -> dict[str, np.ndarray]:
-    """COUNTS for every row of a text column; null counts as empty."""
+    """COUNTS for every row of a text column; null counts as empty.
+
+    Words, lines and windows count as equal where their bytes are."""
     w = Words(column)
     rows = len(w.count)
-    prefix = w.prefix
-    hashes = w.hashes()
+    numbers, _ = w.known()
     out = {"n_words": w.count.astype(np.int64)}
     out["word_chars"] = _per_row(_LEADING[w.raw] & w.inside, w.offsets)
     for name, flags in (("n_symbols", _SYMBOL), ("n_upper", _UPPER), ("n_digits", _DIGIT), ("n_stops", _STOP), ("n_chars_all", _LEADING)):
@@ -67,15 +68,15 @@ def count_statistics(column: pa.Array) -> dict[str, np.ndarray]:
         has_word = np.searchsorted(w.start, begin) < np.searchsorted(w.start, end)
         row_of, begin, end = row_of[has_word], begin[has_word], end[has_word]
         out["n_lines"] = np.bincount(row_of, minlength=rows)
-        out["n_dup_lines"] = out["n_lines"] - _distinct(row_of, span_hash(prefix, begin, end), rows)
+        out["n_dup_lines"] = out["n_lines"] - _distinct(row_of, binary_numbers(w.raw, begin, end), rows)
     else:
         out["n_lines"] = out["n_dup_lines"] = np.zeros(rows, np.int64)
-    out["n_distinct_words"] = _distinct(w.row, hashes, rows)
+    out["n_distinct_words"] = _distinct(w.row, numbers, rows)
     # words in windows of three that come twice or more in their row
-    marked = np.zeros(len(hashes), bool)
-    if len(hashes) >= 3:
+    marked = np.zeros(len(numbers), bool)
+    if len(numbers) >= 3:
         at = np.flatnonzero(w.row[2:] == w.row[:-2])
-        value = span_hash(prefix_hash(hashes), at, at + 3)
+        value = sequence_numbers([numbers[at], numbers[at + 1], numbers[at + 2]])
         order = np.lexsort((value, w.row[at]))
         r, v = w.row[at][order], value[order]
         same = (r[1:] == r[:-1]) & (v[1:] == v[:-1])
@@ -205,12 +206,15 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 8_00
 
     Fitted on at most ``sample_rows`` labelled ids, those with the smallest
     hashes: that bound is a parameter, and so is what reaches the driver.
-    Labels that are null, or of no document, are left out; without any label
-    there is no model (None).
+    Of documents of equal id the one of the smallest counts is taken.  Labels
+    that are null, or of no document, are left out; without any label there is
+    no model (None).  Texts are counted whole, however long; other columns are
+    not read.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
-    found = document_statistics(known).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", *COUNTS, "label").limit(4 * sample_rows).toPandas()
+    once = document_statistics(known).groupBy("doc_id").agg(F.min(F.struct(*COUNTS)).alias("c")).select("doc_id", "c.*")
+    found = once.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", *COUNTS, "label").toPandas()
     if found.empty:
         return None
     x = features_of({k: found[k].to_numpy() for k in COUNTS})

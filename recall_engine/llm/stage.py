@@ -15,11 +15,13 @@ NULL_ID = -(2**63)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) a folder of our
-    own is made and set.
+    Only where that setting is absent and all executors run in this process
+    (tests) a folder of our own is made and set; a cluster must name one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="recall-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -34,7 +36,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     executor costs a reread, not a recomputation of everything before."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of ``written`` that nothing reads any more.  What was made
+    of them must be written itself, so that no lost executor asks for them."""
+    for table in tables:
+        if table is not None:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
+            path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def row_key(id_col: str, text_col: str) -> Column:

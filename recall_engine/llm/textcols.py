@@ -11,11 +11,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Text bytes that are worked on at once; one longer row is worked on alone.
 SLICE_BYTES = 2 << 20
 
-#: Odd base of the rolling hash modulo 2**64, and its inverse.
+#: Odd base of the rolling hash modulo 2**64, and its inverse.  Such a hash can
+#: be made to collide, so it only proposes candidates: what decides a result
+#: compares contents or xxh3 digests of them.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -126,14 +129,50 @@ class Words:
         self.first = np.searchsorted(self.start, self.offsets)
         self.count = np.diff(self.first)
         self.row = np.repeat(np.arange(len(self.count)), self.count)
-        self._prefix = None
-
-    @property
-    def prefix(self) -> np.ndarray:
-        if self._prefix is None:
-            self._prefix = prefix_hash(byte_values(self.raw))
-        return self._prefix
+        self._known = None
+
+    def known(self) -> tuple[np.ndarray, list[bytes]]:
+        """(number of each word, the different words): equal words, and only
+        they, have equal numbers."""
+        if self._known is None:
+            size = self.end - self.start
+            ends = np.zeros(len(size) + 1, np.int64)
+            np.cumsum(size, out=ends[1:])
+            letters = np.ascontiguousarray(self.raw[self.inside])
+            found = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
+            self._known = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary.to_pylist()
+        return self._known
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        return span_hash(self.prefix, self.start, self.end)
+        """(words, 2) of uint64: the 128-bit xxh3 of each word."""
+        numbers, different = self.known()
+        return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, different)), np.uint64).reshape(-1, 2)[numbers]
+
+
+def chained(parts: list[np.ndarray]) -> np.ndarray:
+    """One 64-bit hash for a sequence of 64-bit hashes, the first ones first."""
+    h = parts[0]
+    for x in parts[1:]:
+        h = mix(h * np.uint64(_BASE) + x)
+    return h
+
+
+def sequence_numbers(parts: list[np.ndarray]) -> np.ndarray:
+    """Numbers of sequences of numbers below 2**31: equal exactly where the
+    sequences are."""
+    number = parts[0]
+    for x in parts[1:]:
+        number = np.unique((number << 32) | x, return_inverse=True)[1]
+    return number
+
+
+def binary_numbers(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Numbers of raw[start:end] (in order, not overlapping): equal exactly where
+    the bytes are."""
+    cover = np.zeros(len(raw) + 1, np.int8)
+    cover[start] += 1
+    cover[end] -= 1
+    letters = np.ascontiguousarray(raw[np.cumsum(cover[:-1], dtype=np.int8) > 0])
+    ends = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=ends[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)

@@ -33,6 +33,11 @@ _GAP = re.compile(r"(?<=\S) (?=\S)")
 #: none.  No match of the pattern begins before such a place and ends after it.
 _SAFE_CUT = re.compile(r"(?<=\S)(?=[ \t\r\n])")
 _LONG_TEXT = 1 << 16
+#: Fixed value: what the pattern's \\s stands for (Unicode's White_Space).
+_WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: A run of white space that is too long for the pattern's look-ahead.  But for
+#: its last character before other text it is one match, \\s+(?!\\S).
+_LONG_WHITE = re.compile(f"[{_WHITE}]{{4096,}}(?![^{_WHITE}])|[{_WHITE}]{{4096,}}(?=[{_WHITE}][^{_WHITE}])")
 _LETTERS = re.compile(f"[{_LETTER}]+")
 #: Byte-level vocabularies write bytes that aren't printable Latin-1 as the
 #: characters from 256 on, in order.
@@ -43,9 +48,10 @@ _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not
 class UnitEncoder:
     """Encodes texts by a tokenizers file, each distinct unit once.
 
-    Ids equal those of encode(text, add_special_tokens=False) with special
-    tokens read as ordinary text.  The memory of units is bounded and starts
-    anew when full.
+    Ids equal those of the library's encode(text, add_special_tokens=False):
+    a special token that is spelled out in a text gets its own id.  Texts that
+    hold one go to the library whole.  The memory of units is bounded and
+    starts anew when full.
     """
 
     CACHED_UNITS = 1_000_000
@@ -55,7 +61,8 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.keeps_space = keeps_space
         self.known: dict[str, bytes] = {}
 
@@ -87,7 +94,8 @@ class UnitEncoder:
         """One uint32 array for each text."""
         if len(self.known) > self.CACHED_UNITS:
             self.known.clear()
-        dealt = [self.units(x) for x in texts]
+        whole = {i for i, x in enumerate(texts) if self.added and self.added.search(x)}
+        dealt = [[] if i in whole else self.units(x) for i, x in enumerate(texts)]
         found = [list(map(self.known.get, x)) for x in dealt]
         gaps = []
         for units, ids in zip(dealt, found, strict=True):
@@ -98,6 +106,11 @@ class UnitEncoder:
         self.learn([*{unit for _, _, unit in gaps}])
         for ids, at, unit in gaps:
             ids[at] = self.known[unit]
+        for _, _, unit in gaps:  # long units seldom come again
+            if len(unit) > 64:
+                self.known.pop(unit, None)
+        for i in whole:
+            found[i] = [np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32).tobytes()]
         return [np.frombuffer(b"".join(x), np.uint32) for x in found]
 
 
@@ -128,6 +141,27 @@ def pieces_of(text: str, limit: int = _LONG_TEXT) -> Iterator[str]:
     yield text[at:]
 
 
+def encode_text(encoding, text: str) -> list[int]:
+    """The ids of encode_ordinary, for texts of any length: runs of 4096 or more
+    white-space characters are matches of their own and go to the merges alone."""
+    ids, at = [], 0
+    for run in _LONG_WHITE.finditer(text) if len(text) > 4096 else ():
+        for piece in pieces_of(text[at : run.start()]):
+            ids += encoding.encode_ordinary(piece)
+        ids += merged(encoding, run[0])
+        at = run.end()
+    for piece in pieces_of(text[at:]):
+        ids += encoding.encode_ordinary(piece)
+    return ids
+
+
+def merged(encoding, text: str) -> list[int]:
+    """The merges of one match of the pattern."""
+    raw = text.encode()
+    rank = encoding._mergeable_ranks.get(raw)
+    return [rank] if rank is not None else encoding._encode_single_piece(raw)
+
+
 def id_lists(arrays: list[np.ndarray]) -> pa.ListArray:
     ends = np.zeros(len(arrays) + 1, np.int32)
     np.cumsum([len(x) for x in arrays], out=ends[1:])
@@ -139,9 +173,11 @@ def encode_ranks(docs: DataFrame, ranks_path: str, pattern: str, text_col: str =
     """Adds ``into`` (array<int>): the byte-level BPE ids of each whole text.
 
     Each match of ``pattern`` is merged by the ranks on its own, no special
-    tokens.  Null text counts as empty: no ids.  Other columns stay; one called
-    ``into`` is replaced.  Rows don't depend on each other, so repeated rows,
-    ties and an empty table need no rule.
+    tokens.  Null text counts as empty: no ids.  Texts of any length are encoded
+    whole: long ones are cut where no match can cross, and long runs of white
+    space are merged by themselves.  Other columns stay; one called ``into`` is
+    replaced.  Rows don't depend on each other, so repeated rows, ties and an
+    empty table need no rule.
     """
     keep = [c for c in docs.columns if c != into]
 
@@ -149,7 +185,7 @@ def encode_ranks(docs: DataFrame, ranks_path: str, pattern: str, text_col: str =
         encoding = rank_encoding(ranks_path, pattern)
         for batch in slices(batches, text_col):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            arrays = [np.array([i for p in pieces_of(t or "") for i in encoding.encode_ordinary(p)], np.uint32) for t in texts]
+            arrays = [np.array(encode_text(encoding, t or ""), np.uint32) for t in texts]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), id_lists(arrays)], [*batch.schema.names, into])
 
     out = docs.select(*keep)
