@@ -283,8 +283,9 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "do
     links are then not looked at are those within components, so components are
     those of all links, without comparing all pairs of a large group.
 
-    Null and empty texts have no shingles, link with nothing and are kept.  A
-    null id orders before all others and comes back as null.  Rows of equal id
+    Null and empty texts have no shingles, link with nothing and are kept; long
+    ones are read whole.  Classes are told apart by the 128-bit digest of their
+    whole sets and numbered by 64 bits of it.  A null id orders before all others and comes back as null.  Rows of equal id
     and text have equal results; other columns go; an empty table gives none.
     """
     component = F.coalesce("component", "id")
@@ -295,15 +296,16 @@ def keep_one_each(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "doc_
     """docs less near-duplicates: of each component the row of the smallest id stays.
 
     Where several texts of a component bear that id, the one of the smallest
-    hash stays; repeated rows count once.  Documents without shingles stay.
-    All columns stay as they are.
+    hash stays; repeated rows count once.  Documents without shingles (null or
+    empty texts) stay.  Texts are read whole; all columns stay as they are,
+    whatever they are called; an empty table gives an empty one.
     """
     found = _resolved(keyed(docs, id_col, text_col), how, most_rounds)
     alone = found.where(F.col("n") == 0).select("key", "id").distinct()
     best = found.where(F.col("n") > 0).groupBy("group").agg(F.min(F.struct("id", "key")).alias("x")).select("x.key", "x.id")
-    keep = alone.unionByName(best).withColumnsRenamed({"key": "__key", "id": "__id"})
-    rows = docs.withColumns({"__key": row_key(id_col, text_col), "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))})
-    return rows.join(keep, ["__key", "__id"], "left_semi").dropDuplicates(["__key", "__id"]).select(*docs.columns)
+    # all columns travel as one, so that none can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_key(id_col, text_col).alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"))
+    return rows.join(alone.unionByName(best), ["key", "id"], "left_semi").dropDuplicates(["key", "id"]).select("row.*")
 
 
 def _resolved(rows: DataFrame, how: MinHash, most_rounds: int) -> DataFrame:

@@ -221,32 +221,55 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 8_00
     return fit_trees(x, (found["label"].to_numpy() == 0).astype(float), list(FEATURES.values()), **fit)
 
 
-def judge_quality(docs: DataFrame, model: Trees | None, *, least_words: int = 50, most_repeat_percent: int = 50, bad_chance: float = 0.5, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
-    """One row per document: statistics, base_failed, bad_score and kept.
-
-    base_failed: fewer than ``least_words`` words, or more than
-    ``most_repeat_percent`` of them in repeated windows of three.  kept: not
-    base_failed and the model's chance of a bad document below ``bad_chance``
-    (without a model, the base decides).  Null text has no words and fails.
-    keep_columns: the columns of docs come first and whole; statistics then
-    bear the prefix q_ so that no name clashes.
+@dataclass(frozen=True)
+class Rules:
+    """base_failed: fewer than ``least_words`` words, or more than
+    ``most_repeat_percent`` % of them in repeated windows of three.  kept: not
+    base_failed and the trees' chance of a bad document below ``bad_chance``."""
+
+    least_words: int = 50
+    most_repeat_percent: int = 50
+    bad_chance: float = 0.5
+
+    def verdict(self, column: pa.Array, model: Trees | None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """(counts, base_failed, bad_score, kept) of each text; without a model
+        the base decides."""
+        counts = count_statistics(column)
+        failed = (counts["n_words"] < self.least_words) | (100 * counts["n_repeat_words"] > self.most_repeat_percent * counts["n_words"])
+        score = model.score(features_of(counts)) if model else np.zeros(len(failed)) - np.inf
+        return counts, failed, score, ~failed & (score < np.log(self.bad_chance / (1 - self.bad_chance)))
+
+
+def judge_quality(docs: DataFrame, model: Trees | None, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, COUNTS..., base_failed, bad_score, kept): a row per document.
+
+    Null and empty texts have no words and fail; texts are read whole, however
+    long; null ids stay; repeated rows get equal rows; an empty table gives
+    none; other columns, whatever they are called, go.
     """
-    line = float(np.log(bad_chance / (1 - bad_chance)))
-    added = [*COUNTS, "base_failed", "bad_score", "kept"]
-    mark = "q_" if keep_columns else ""
-    kinds = ", ".join(f"{mark}{k} {'boolean' if k in ('base_failed', 'kept') else 'double' if k == 'bad_score' else 'long'}" for k in added)
-    rows = docs if keep_columns else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    text_name = text_col if keep_columns else "text"
-    front = rows.columns if keep_columns else ["doc_id"]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        for batch in slices(batches, text_name):
-            counts = count_statistics(batch.column(batch.schema.get_field_index(text_name)))
-            failed = (counts["n_words"] < least_words) | (100 * counts["n_repeat_words"] > most_repeat_percent * counts["n_words"])
-            score = model.score(features_of(counts)) if model else np.zeros(len(failed)) - np.inf
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in front]
-            columns += [*(pa.array(counts[k]) for k in COUNTS), pa.array(failed), pa.array(score), pa.array(~failed & (score < line))]
-            yield pa.RecordBatch.from_arrays(columns, [*front, *(mark + k for k in added)])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*front).schema)
-    return rows.mapInArrow(run, f"{schema}, {kinds}")
+        for batch in slices(batches):
+            counts, failed, score, kept = rules.verdict(batch.column(1), model)
+            columns = [batch.column(0), *(pa.array(counts[k]) for k in COUNTS), pa.array(failed), pa.array(score), pa.array(kept)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *COUNTS, "base_failed", "bad_score", "kept"])
+
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, bad_score double, kept boolean")
+
+
+def keep_good(docs: DataFrame, model: Trees | None, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
+    """The rows of docs that judge_quality keeps, all columns as they are.
+
+    Null and empty texts go, as they have no words; repeated rows stay or go
+    alike; an empty table gives an empty one.
+    """
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                for part in slices([batch], batch.schema.names[place]):
+                    yield part.filter(pa.array(rules.verdict(part.column(place), model)[3]))
+
+    return docs.mapInArrow(run, docs.schema)

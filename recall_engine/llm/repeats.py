@@ -1,15 +1,15 @@
 """What substring dedup operators share: finding repeated windows at scale.
 
-A window is a fixed number of units (bytes or words) of one document.  Every
-window is assigned to one anchor by its content alone: the leftmost of its
-smallest k-unit hashes.  Equal windows have equal anchors at equal places, so
+A window is a fixed number of units (bytes or words) of one document.  Windows
+are assigned to anchors, short strings within them, by content alone.  Equal
+windows have equal anchors at equal places, so
 
 * each run of windows with one anchor (a context) is one row with the digest of
-  the context, about one for 170 bytes or 22 words;
+  the context, about one for 170 bytes or 12 words;
 * only anchors that come twice can hold repeated windows;
-* equal contexts repeat as wholes, whatever their number, by counting;
-* one copy of each other context, with its text, meets the different contexts
-  of its anchor, and there the operator's own method compares windows;
+* copies of one context travel as one row that counts them;
+* each context, with its text, meets the different contexts of its anchor, and
+  there the operator's own method compares windows;
 * anchors with very many different contexts (the edges of a passage that is in
   very many documents) are cut into single windows, which are counted.
 
@@ -23,44 +23,87 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recall_engine.llm.stage import written
+from recall_engine.llm.stage import discard, written
 from recall_engine.llm.textcols import slices, span_hash, window_min
 
-_LONG = 1 << 64
+#: A key is hot from this share of all rows on, so there are at most as many hot
+#: keys; below LEAST_HOT rows no key is.
+HOT_SHARE, LEAST_HOT = 2_000, 1_000
+
+
+@dataclass
+class Read:
+    """The units of a text column: prefix hashes, unit offsets of the rows, the
+    bytes a digest of units covers and how many of them a unit has."""
+
+    prefix: np.ndarray
+    offsets: np.ndarray
+    digested: bytes
+    width: int
+    #: content(a, b): bytes of units a..b; words are joined by one space.
+    content: Callable[[int, int], bytes]
+
+    def digest(self, a: int, b: int) -> bytes:
+        """xxh3-128 of units a..b."""
+        return xxhash.xxh3_128_digest(self.digested[a * self.width : b * self.width])
 
 
 @dataclass(frozen=True)
 class Units:
-    """How a text column is read: ``read(column)`` gives (prefix hashes of the
-    units, unit offsets of the rows, byte start and end of each unit or None
-    where units are bytes, raw bytes)."""
+    """How a text column is read, in windows of ``window`` units."""
 
     window: int
     gram: int
-    read: Callable
+    read: Callable[[pa.Array], Read]
     #: Anchors with more different contexts are cut into single windows.
     most_contexts: int = 2_000
     #: Context bytes that are compared in one go.
     group_bytes: int = 4 << 20
 
 
-def _runs(prefix: np.ndarray, offsets: np.ndarray, units: Units) -> tuple[np.ndarray, ...]:
-    """(first window, number of windows, anchor, anchor hash) of every run."""
-    n = int(offsets[-1])
-    grams = span_hash(prefix, np.arange(n - units.gram + 1), np.arange(units.gram, n + 1)) if n >= units.gram else np.zeros(0, np.uint64)
+@dataclass
+class Group:
+    """Contexts of whole anchors: their bytes one after another, the number of
+    copies and the least id of each."""
+
+    text: np.ndarray
+    offset: np.ndarray
+    h: np.ndarray
+    windows: np.ndarray
+    at: np.ndarray
+    least_id: np.ndarray
+    copies: np.ndarray
+
+
+def least_grams(read: Read, units: Units) -> np.ndarray:
+    """For every place, the 64-bit hash of the gram that starts there."""
+    n = int(read.offsets[-1])
+    return span_hash(read.prefix, np.arange(n - units.gram + 1), np.arange(units.gram, n + 1)) if n >= units.gram else np.zeros(0, np.uint64)
+
+
+def runs(grams: np.ndarray, chosen: np.ndarray | None, offsets: np.ndarray, units: Units) -> tuple[np.ndarray, ...]:
+    """(first window, number of windows, anchor, anchor hash) of every run.
+
+    A window's anchor is the leftmost of its least grams, among those chosen;
+    windows without any have none."""
     width = units.window - units.gram + 1
-    empty = np.zeros(0, np.int64)
+    empty = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if len(grams) < width:
-        return empty, empty, empty, np.zeros(0, np.uint64)
-    least = window_min((grams & np.uint64(0xFFFFFFFF << 32)) | np.arange(len(grams), dtype=np.uint64), width)
+        return empty
+    top = np.uint64(0xFFFFFFFF << 32)
+    rank = (grams & top) | np.arange(len(grams), dtype=np.uint64)
+    if chosen is not None:
+        rank = np.where(chosen, rank, np.uint64(0xFFFFFFFFFFFFFFFF))
+    least = window_min(rank, width)
     end = np.repeat(offsets[1:], np.diff(offsets))[: len(least)]
-    valid = np.flatnonzero(np.arange(len(least)) + units.window <= end)
+    valid = np.flatnonzero((np.arange(len(least)) + units.window <= end) & (least != np.uint64(0xFFFFFFFFFFFFFFFF)))
     if not len(valid):
-        return empty, empty, empty, np.zeros(0, np.uint64)
+        return empty
     anchor = (least[valid] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     cut = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(valid) != 1)) + 1
     first = np.concatenate([[0], cut])
@@ -68,53 +111,39 @@ def _runs(prefix: np.ndarray, offsets: np.ndarray, units: Units) -> tuple[np.nda
     return valid[first], count, anchor[first], grams[anchor[first]]
 
 
-def _bytes_of(bounds, a: int, b: int) -> tuple[int, int]:
-    """Byte range of units a..b."""
-    return (a, b) if bounds is None else (int(bounds[0][a]), int(bounds[1][b - 1]))
-
-
-def _digest(raw: bytes) -> tuple[int, int]:
-    a, b = divmod(xxhash.xxh3_128_intdigest(raw), _LONG)
-    return a - (1 << 63), b - (1 << 63)
+CONTEXT = "key long, id long, h long, c1 long, c2 long, start long, windows int, at int"
 
 
-def _content(raw: memoryview, bounds, a: int, b: int) -> bytes:
-    """Bytes that stand for units a..b, equal for equal units: words are joined
-    by one space."""
-    if bounds is None:
-        return bytes(raw[a:b])
-    return b" ".join(bytes(raw[x:y]) for x, y in zip(bounds[0][a:b].tolist(), bounds[1][a:b].tolist(), strict=True))
+def context_rows(batch: pa.RecordBatch, read: Read, found: tuple[np.ndarray, ...], window: int) -> pa.RecordBatch:
+    """Rows of CONTEXT for the runs found in a batch (key, id, ...): start counts
+    units in the document, at is the anchor's place in the run, c1 and c2 are
+    the digest."""
+    first, count, anchor, h = found
+    owner = np.searchsorted(read.offsets, first, "right") - 1
+    digest = np.frombuffer(b"".join([read.digest(a, b) for a, b in zip(first.tolist(), (first + count + window - 1).tolist(), strict=True)]), np.int64).reshape(-1, 2)
+    columns = [batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(h.view(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1])]
+    columns += [pa.array((first - read.offsets[owner]).astype(np.int64)), pa.array(count.astype(np.int32)), pa.array((anchor - first).astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, ["key", "id", "h", "c1", "c2", "start", "windows", "at"])
 
 
 def contexts(rows: DataFrame, units: Units) -> DataFrame:
-    """(key, id, h, c1, c2, start, windows, at): a row for each run of windows;
-    start counts units in the document, at is the anchor's place in the run."""
+    """CONTEXT for all windows of rows (key, id, text): any gram may be an anchor."""
 
     def run(batches):
         for batch in slices(batches):
-            prefix, offsets, bounds, raw = units.read(batch.column(2))
-            first, count, anchor, h = _runs(prefix, offsets, units)
-            view = memoryview(raw)
-            owner = np.searchsorted(offsets, first, "right") - 1
-            size = (count + units.window - 1).tolist()
-            digest = [_digest(_content(view, bounds, a, a + n)) for a, n in zip(first.tolist(), size, strict=True)]
-            columns = [batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(h.view(np.int64)), pa.array([x for x, _ in digest], pa.int64()), pa.array([x for _, x in digest], pa.int64())]
-            columns += [pa.array((first - offsets[owner]).astype(np.int64)), pa.array(count.astype(np.int32)), pa.array((anchor - first).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "id", "h", "c1", "c2", "start", "windows", "at"])
+            read = units.read(batch.column(2))
+            yield context_rows(batch, read, runs(least_grams(read, units), None, read.offsets, units), units.window)
 
-    return rows.mapInArrow(run, "key long, id long, h long, c1 long, c2 long, start long, windows int, at int")
+    return rows.mapInArrow(run, CONTEXT)
 
 
-@dataclass
-class Group:
-    """Contexts of whole anchors: their bytes one after another."""
-
-    text: np.ndarray
-    offset: np.ndarray
-    h: np.ndarray
-    windows: np.ndarray
-    at: np.ndarray
-    least_id: np.ndarray
+def join_hot(rows: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, total: int) -> DataFrame:
+    """rows joined with right, where ``counts`` (on, n) says how many rows a key
+    has.  Keys of a 2,000th of all rows or more, thus at most 2,000, meet their
+    rows of ``right`` by a broadcast, so that none of them lands in one task."""
+    hot = F.broadcast(counts.where(F.col("n") >= max(LEAST_HOT, -(-total // HOT_SHARE))).select(*on))
+    usual = rows.join(hot, on, "left_anti").join(right, on)
+    return usual.unionByName(rows.join(hot, on, "left_semi").join(F.broadcast(right.join(hot, on, "left_semi")), on))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
@@ -150,76 +179,81 @@ def _spans(flags: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return owner, on - base, off - base + 1
 
 
-def repeated_windows(docs: DataFrame, units: Units, compare: Callable[[Group], np.ndarray], *, later_only: bool) -> DataFrame:
+_PIECE = {"h": pa.int64(), "c1": pa.int64(), "c2": pa.int64(), "least_id": pa.int64(), "copies": pa.int64(), "windows": pa.int32(), "at": pa.int32(), "content": pa.binary(), "w1": pa.int64(), "w2": pa.int64(), "place": pa.int32()}
+_PIECE_SCHEMA = "h long, c1 long, c2 long, least_id long, copies long, windows int, at int, content binary, w1 long, w2 long, place int"
+
+
+def repeated_windows(every: DataFrame, docs: DataFrame, units: Units, compare: Callable[[Group], np.ndarray], *, later_only: bool) -> DataFrame:
     """(key, id, start, end) in units: stretches covered by repeated windows.
 
+    every: written rows of CONTEXT; docs: rows (key, id, text) that hold them.
     later_only: a window counts where it also starts in a document of a smaller
-    id; else where it starts anywhere else.  ``compare`` gets whole anchors with
-    different contexts and flags each of their windows, context by context.
-    docs are rows of ``keyed``.
+    id; else where it starts anywhere else.  ``compare`` gets whole anchors and
+    flags each of their windows, context by context.
     """
-    every = written(contexts(docs, units), "contexts")
     by_anchor = every.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
-    again = by_anchor.where(F.col("a") < F.col("b") if later_only else F.col("n") > 1).select("h")
-    found = written(every.join(again, "h"), "repeated-anchors")
+    again = written(by_anchor.where(F.col("a") < F.col("b") if later_only else F.col("n") > 1).select("h", "n"), "anchors")
+    total = every.count()
+    found = written(join_hot(every, again.select("h"), ["h"], again, total), "repeated-anchors")
     same = ["h", "c1", "c2"]
-    of = found.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least_id"), *(F.first(c).alias(c) for c in ("key", "id", "start", "windows", "at")))
-    of = written(of, "different-contexts")
+    of = found.groupBy(*same).agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least_id"), F.max("id").alias("most_id"), F.min(F.struct("key", "id", "start", "windows", "at")).alias("x"))
+    of = written(of.select(*same, "copies", "least_id", "most_id", "x.*"), "different-contexts")
+    discard(every)
     width = units.window - 1
-    whole = found.join(of.select(*same, "n", "least_id").where(F.col("n") > 1), same)
-    whole = whole.where(F.col("id") > F.col("least_id")) if later_only else whole
-    parts = [whole.select("key", "id", "start", (F.col("start") + F.col("windows") + width).alias("end"))]
 
-    variety = of.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
-    wanted = of.join(variety, "h").groupBy("key", "id").agg(F.collect_list(F.struct("h", "c1", "c2", "least_id", "start", "windows", "at", "kinds")).alias("wanted"))
+    kinds = of.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
+    wanted = of.join(kinds.where(F.col("kinds") > 1) if later_only else kinds, "h")
+    wanted = wanted.groupBy("key", "id").agg(F.collect_list(F.struct("h", "c1", "c2", "least_id", "copies", "windows", "at", "start", "kinds")).alias("wanted"))
     limit = units.most_contexts
-    shape = "h long, c1 long, c2 long, least_id long, windows int, at int, content binary, w1 long, w2 long, place int"
 
     def cut(batches):
         for batch in slices(batches):
-            prefix, offsets, bounds, raw = units.read(batch.column(0))
-            view = memoryview(raw)
+            read = units.read(batch.column(0))
             out = []
+
+            def table():
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _PIECE.values(), strict=True)], [*_PIECE])
+
             for row, asked in enumerate(batch.column(1).to_pylist()):
                 for x in asked:
-                    a = int(offsets[row]) + x["start"]
-                    head = (x["h"], x["c1"], x["c2"], x["least_id"], x["windows"], x["at"])
+                    a = int(read.offsets[row]) + x["start"]
+                    head = (x["h"], x["c1"], x["c2"], x["least_id"], x["copies"], x["windows"], x["at"])
                     if x["kinds"] <= limit:
-                        out.append((*head, _content(view, bounds, a, a + x["windows"] + width), None, None, None))
+                        out.append((*head, read.content(a, a + x["windows"] + width), None, None, None))
                     else:
-                        out.extend((*head, None, *_digest(_content(view, bounds, a + i, a + i + units.window)), i) for i in range(x["windows"]))
+                        out.extend((*head, None, *np.frombuffer(read.digest(a + i, a + i + units.window), np.int64).tolist(), i) for i in range(x["windows"]))
                     if len(out) >= 5_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                        yield table()
                         out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                yield table()
 
-    names = [x.split()[0] for x in shape.split(", ")]
-    kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in shape.split(", ")]
-    pieces = written(docs.join(wanted, ["key", "id"]).dropDuplicates(["key", "id"]).select("text", "wanted").mapInArrow(cut, shape), "context-texts")
+    pieces = written(docs.join(wanted, ["key", "id"]).dropDuplicates(["key", "id"]).select("text", "wanted").mapInArrow(cut, _PIECE_SCHEMA), "context-texts")
 
     def meet(batches):
         for batch in _groups(batches, units.group_bytes):
             content = batch.column(batch.schema.get_field_index("content"))
-            at = np.asarray(pa.compute.fill_null(pa.compute.binary_length(content), 0), np.int64)
-            offset = np.concatenate([[0], np.cumsum(at)])
+            offset = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(content), np.int64))])
             text = np.frombuffer(b"".join(content.to_pylist()), np.uint8)
-            h, windows, place, least = (np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("h", "windows", "at", "least_id"))
-            owner, first, end = _spans(compare(Group(text, offset, h, windows, place, least)), windows)
+            h, windows, at, least, copies = (np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("h", "windows", "at", "least_id", "copies"))
+            owner, first, end = _spans(compare(Group(text, offset, h, windows, at, least, copies)), windows)
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(owner)) for k in range(3)), pa.array(first.astype(np.int64)), pa.array(end.astype(np.int64))], [*same, "first", "last"])
 
-    few = pieces.where(F.col("content").isNotNull()).select("h", "c1", "c2", "least_id", "windows", "at", "content")
+    few = pieces.where(F.col("content").isNotNull()).select("h", "c1", "c2", "least_id", "copies", "windows", "at", "content")
     inside = few.repartition("h").sortWithinPartitions("h", "c1", "c2").mapInArrow(meet, "h long, c1 long, c2 long, first long, last long")
-    many = pieces.where(F.col("content").isNull()).select(*same, "least_id", "w1", "w2", "place")
-    seen = many.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("k"), F.min("least_id").alias("m"))
-    single = many.join(seen, ["w1", "w2"]).where(F.col("m") < F.col("least_id") if later_only else F.col("k") > 1).select(*same, F.col("place").cast("long").alias("first"), (F.col("place") + 1).cast("long").alias("last"))
-    flagged = written(inside.unionByName(single), "repeated-windows")
-    # contexts that come more than once are covered already, but for their first document
-    rest = of.where(F.lit(True) if later_only else F.col("n") == 1).select(*same, "least_id")
-    places = found.join(rest, same)
-    places = places.where(F.col("id") == F.col("least_id")) if later_only else places
-    parts.append(places.join(flagged, same).select("key", "id", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + width).alias("end")))
-    return parts[0].unionByName(parts[1])
+    many = pieces.where(F.col("content").isNull()).select(*same, "least_id", "copies", "w1", "w2", "place")
+    seen = many.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("k"), F.min("least_id").alias("m"))
+    single = join_hot(many, seen.select("w1", "w2", "k", "m"), ["w1", "w2"], seen, total).where(F.col("m") < F.col("least_id") if later_only else F.col("k") > 1)
+    flagged = written(inside.unionByName(single.select(*same, F.col("place").cast("long").alias("first"), (F.col("place") + 1).cast("long").alias("last"))), "repeated-windows")
+    sizes = of.select(*same, F.col("copies").alias("n"))
+    spot = lambda x: x.select("key", "id", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + width).alias("end"))
+    if not later_only:
+        return spot(join_hot(found, flagged, same, sizes, total))
+    # what copies of a context in later documents hold comes earlier, all of it
+    copied = of.where(F.col("least_id") < F.col("most_id")).select(*same, "least_id")
+    whole = join_hot(found, copied, same, sizes, total).where(F.col("id") > F.col("least_id"))
+    whole = whole.select("key", "id", "start", (F.col("start") + F.col("windows") + width).alias("end"))
+    return whole.unionByName(spot(join_hot(found, flagged.join(of.select(*same, "least_id"), same), same, sizes, total).where(F.col("id") == F.col("least_id"))))
 
 
 def gathered(spans: DataFrame) -> DataFrame:
@@ -235,5 +269,3 @@ def gathered(spans: DataFrame) -> DataFrame:
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs and their ``spans``; null where there are none."""
     return docs.join(gathered(spans), ["key", "id"], "left")
-
-

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recall_engine.llm.stage import keyed, public_id, written
+from recall_engine.llm.stage import NULL_ID, keyed, public_id, row_key, written
 
 #: (kind, pattern, least length, group whose length counts).  Base kinds first,
 #: in the order in which spans of equal start are listed.
@@ -80,7 +80,8 @@ def _near(weak: DataFrame, anchors: DataFrame, scope: int) -> DataFrame:
 
 
 def linked_spans(spans: DataFrame, linking: Linking = Linking()) -> DataFrame:
-    """Base spans, and the weak ones whose complementary parts stand near.
+    """Base spans, and the weak ones whose complementary parts stand near, for
+    rows of find_spans; without rows there are none.
 
     A bare 40-character key part counts near an access identifier; an endpoint
     counts near an access identifier and near a secret (an assigned value or a
@@ -123,19 +124,23 @@ def listed(found: str, base_only: bool = False):
 def redact(docs: DataFrame, linking: Linking = Linking(), mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with every found span replaced by ``mark``.
 
-    Overlapping spans are replaced as one.  All columns and rows stay; texts
-    without spans, null ones included, stay as they are.
+    Spans that overlap are replaced as one.  All rows and columns stay,
+    whatever the columns are called; texts without spans, null and empty ones
+    included, stay as they are; long ones are read whole; repeated rows are
+    treated alike; an empty table gives an empty one.
     """
-    rows = docs.withColumns({"__key": F.xxhash64(id_col, text_col), "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))})
+    # all columns travel as one, so that none can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_key(id_col, text_col).alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"))
     spans = linked_spans(written(find_spans(keyed(docs, id_col, text_col)), "spans"), linking)
     per = Window.partitionBy("key", "id").orderBy("start", "end")
     before = per.rowsBetween(Window.unboundedPreceding, -1)
     run = F.sum(F.when(F.col("start") < F.coalesce(F.col("reach"), F.lit(-1)), 0).otherwise(1)).over(per.rowsBetween(Window.unboundedPreceding, 0))
     merged = spans.withColumn("reach", F.max("end").over(before)).withColumn("run", run).groupBy("key", "id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    cuts = merged.groupBy("key", "id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts")).withColumnsRenamed({"key": "__key", "id": "__id"})
+    cuts = merged.groupBy("key", "id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
     # the kept stretches: from each span's end to the next one's start
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("__cuts", lambda x: x["end"]))
-    ends = F.concat(F.transform("__cuts", lambda x: x["start"]), F.array(F.length(text_col).cast("long")))
-    kept = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.substring(F.col(text_col), (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")))
-    joined = rows.join(cuts, ["__key", "__id"], "left").withColumn(text_col, F.when(F.col("__cuts").isNull(), F.col(text_col)).otherwise(F.array_join(kept, mark)))
-    return joined.select(*docs.columns)
+    text = F.col("row")[text_col]
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("cuts", lambda x: x["end"]))
+    ends = F.concat(F.transform("cuts", lambda x: x["start"]), F.array(F.length(text).cast("long")))
+    kept = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.substring(text, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")))
+    hidden = F.when(F.col("cuts").isNull(), text).otherwise(F.array_join(kept, mark))
+    return rows.join(cuts, ["key", "id"], "left").select(*((hidden if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))

@@ -11,19 +11,22 @@ from pyspark.sql import functions as F
 #: What a null document id counts as in orderings: before every other id.
 NULL_ID = -(2**63)
 
+#: Folders made for applications in this process that name none.
+_own: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir.
 
     Only where that setting is absent and all executors run in this process
-    (tests) a folder of our own is made and set; a cluster must name one.
+    (tests) is a folder of our own made; a cluster must name one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="recall-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        path = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="recall-shared-"))
     return path.rstrip("/")
 
 
