@@ -20,29 +20,50 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the trees reject go."""
+    """Documents that the base rules or the trees reject go.
+
+    Null and empty texts have no words and go; texts are judged whole; repeated
+    rows stay or go alike; other columns stay; an empty table stays empty, and
+    without labels the base rules decide alone."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = quality.judge_quality(docs, quality.train_quality(docs, labels), keep_columns=True)
-    return judged.where("q_kept").select(*docs.columns)
+    return quality.keep_good(docs, quality.train_quality(docs, labels))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (five-word shingles, 0.8)."""
+    """One document of each group of near-duplicates stays (five-word shingles,
+    0.8): the one of the smallest id.
+
+    Repeated rows count once, null and empty texts stay, a null id is the
+    smallest; texts are compared whole; other columns stay."""
     return near_dedup.keep_one_each(docs, near_dedup.MinHash(words=5, percent=80))
 
 
+#: Passages of 50 words are what should go.  Of documents that share one, 99 %
+#: share a string of 240 bytes, 94 % one of 320 and 83 % one of 400.
+REPEAT_BYTES = 240
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur elsewhere are cut out."""
-    return _counted(suffix_dedup.remove_repeats(docs))
+    """Strings of REPEAT_BYTES that occur elsewhere are cut out.
+
+    Null, empty and shorter texts stay as they are, repeated rows repeat each
+    other, long texts are read whole; other columns stay."""
+    return _counted(suffix_dedup.remove_repeats(docs, REPEAT_BYTES))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
+    """Secrets are replaced by a mark.
+
+    Texts without any, null and empty ones stay as they are, long ones are
+    scanned whole, repeated rows are treated alike; other columns stay."""
     return _counted(secrets.redact(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences of 1024."""
+    """Token pieces with their places in sequences of 1024.
+
+    Null and empty texts hold the end id alone, long ones are cut into pieces,
+    repeated rows are packed each; an empty table gives no rows."""
     pieces = packing.cut_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 2)
     return packing.pack(pieces)
 
