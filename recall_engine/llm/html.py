@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,11 +12,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recall_engine.llm.stage import written
+from recall_engine.llm.stage import join_hot, written
 from recall_engine.llm.textcols import slices
 
+#: A < outside of quotes ends the search for a tag's end, so that broken markup
+#: is not read again and again.
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>""",
     re.S,
 )
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -27,7 +30,9 @@ _BLOCK = frozenset("address article aside blockquote body br caption center dd d
 _UNWANTED = frozenset("aside button canvas datalist dialog footer form head iframe input menu nav noscript object option script select style svg template textarea title".split())
 _CONTAINER = frozenset("aside div dl footer form header nav ol section table ul".split())
 _CLOSES_P = _BLOCK - frozenset("br body html head option legend summary caption tbody td tfoot th thead tr li dd dt figcaption".split())
-_SAME_LEVEL = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+#: Elements that end an open one of their kind, but not across what holds them.
+_LEVELS = [({"li"}, {"ul", "ol", "menu"}), ({"dt", "dd"}, {"dl"}), ({"td", "th"}, {"tr", "table"}), ({"tr"}, {"table"}), ({"option"}, {"select"})]
+_LEVEL_OF = {tag: k for k, (ends, _) in enumerate(_LEVELS, 1) for tag in ends}
 # Words in class, id and role that mark what isn't the article.
 _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs captcha comment comments commentlist consent contentinfo cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
@@ -35,19 +40,47 @@ _MARKS = frozenset(
 _MAIN_MARKS = frozenset("article content entry main post story".split())
 
 
+#: Whole class words that mark the same within the article.
+_INSIDE = _MARKS - {"footer", "login", "notice", "pager", "reply", "respond", "search", "skip"}
+
+
 class Node:
-    __slots__ = ("children", "marks", "parent", "tag")
+    """near: the innermost open element that decides what a start tag ends, one
+    for blocks and one for each of _LEVELS."""
+
+    __slots__ = ("children", "marks", "near", "parent", "tag", "words")
 
-    def __init__(self, tag: str, marks: frozenset[str], parent: Node | None):
-        self.tag, self.marks, self.parent = tag, marks, parent
+    def __init__(self, tag: str, marks: frozenset[str], words: frozenset[str], parent: Node | None):
+        self.tag, self.marks, self.words, self.parent = tag, marks, words, parent
         self.children: list[Node | str] = []
+        near = parent.near if parent else (None,) * (1 + len(_LEVELS))
+        if tag in _BLOCK or tag == "p":
+            near = (self, *(self if tag in ends or tag in holds else x for x, (ends, holds) in zip(near[1:], _LEVELS, strict=True)))
+        elif tag in ("option", "select"):
+            near = (*near[:-1], self)
+        self.near = near
+
+
+_NO_MARKS: frozenset[str] = frozenset()
 
 
 def parse(html: str) -> Node:
-    """A tree of elements and text.  Broken markup never fails: unknown ends
-    are skipped, open elements end with the page, a < that opens nothing is text."""
-    root = at = Node("", frozenset(), None)
+    """A tree of elements and text, in time in proportion to the page.  Broken
+    markup never fails: ends of what isn't open are skipped, open elements end
+    with the page, a < that opens nothing is text."""
+    root = at = Node("", _NO_MARKS, _NO_MARKS, None)
     place, n = 0, len(html)
+    opened: Counter[str] = Counter()
+
+    def leave(node: Node) -> Node:
+        """Closes all up to the node; its parent is what stays open."""
+        up = at
+        while up is not node:
+            opened[up.tag] -= 1
+            up = up.parent
+        opened[node.tag] -= 1
+        return node.parent
+
     while place < n:
         m = _TOKEN.search(html, place)
         if not m:
@@ -63,44 +96,47 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if ends:
-            up = at
-            while up.parent and up.tag != tag:
-                up = up.parent
-            if up.parent:
-                at = up.parent
+            if opened[tag]:
+                up = at
+                while up.tag != tag:
+                    up = up.parent
+                at = leave(up)
             continue
         if tag in _CLOSES_P or tag == "p":
-            up = at
-            while up.parent and up.tag != "p" and (up.tag not in _BLOCK):
-                up = up.parent
-            if up.tag == "p":
-                at = up.parent
-        elif tag in _SAME_LEVEL:
-            up = at
-            while up.parent and up.tag != tag and up.tag not in _SAME_LEVEL[tag]:
-                up = up.parent
-            if up.tag == tag:
-                at = up.parent
-        words: list[str] = []
+            block = at.near[0]
+            if block and block.tag == "p":
+                at = leave(block)
+        elif tag in _LEVEL_OF:
+            level = _LEVEL_OF[tag]
+            same = at.near[level]
+            if same and same.tag in _LEVELS[level - 1][0]:
+                at = leave(same)
+        marks = words = _NO_MARKS
         if rest and "=" in rest:
-            for _, a, b, c in _NAMED.findall(rest):
-                words += _WORD.findall((a or b or c).lower())
-        node = Node(tag, frozenset(words), at)
+            values = [(name.lower(), (a or b or c).lower()) for name, a, b, c in _NAMED.findall(rest)]
+            marks = frozenset(x for _, v in values for x in _WORD.findall(v))
+            words = frozenset(x for name, v in values if name != "id" for x in v.split())
+        node = Node(tag, marks, words, at)
         at.children.append(node)
         if tag in _RAW:
-            over = re.compile(f"</{tag}\\b[^>]*>", re.I).search(html, place)
+            over = re.compile(f"</{tag}\\b[^<>]*>", re.I).search(html, place)
             place = over.end() if over else n
         elif tag not in _VOID and not rest.endswith("/"):
             at = node
+            opened[tag] += 1
     return root
 
 
 def _unwanted(node: Node, inside: bool) -> bool:
+    """What isn't the article.  Within it, names count only where they are
+    whole class words of a container: its headings and paragraphs stay."""
     if node.tag in _UNWANTED or (node.tag == "header" and not inside):
         return True
     if node.tag in ("html", "body", "main") or not node.marks:
         return False
-    return bool(node.marks & _MARKS) or (not inside and "header" in node.marks)
+    if inside:
+        return node.tag in _CONTAINER and bool(node.words & _INSIDE)
+    return bool(node.marks & _MARKS) or "header" in node.marks
 
 
 def _walk(node: Node) -> Iterator[Node]:
@@ -136,9 +172,9 @@ def main_elements(root: Node) -> list[Node]:
     )
 
 
-def text_of(nodes: list[Node], removed=frozenset(), hashes: dict[int, int] | None = None) -> str:
-    """Text of the elements without unwanted and removed subtrees: white space
-    in a block becomes one space, blocks are joined by one."""
+def text_of(nodes: list[Node]) -> str:
+    """Text of the elements without unwanted subtrees: white space in a block
+    becomes one space, blocks are joined by one."""
     out: list[str] = []
     for top in nodes:
         out.append(" ")
@@ -146,37 +182,46 @@ def text_of(nodes: list[Node], removed=frozenset(), hashes: dict[int, int] | Non
         while stack:
             x = stack.pop()
             if isinstance(x, str):
-                out.append(x)
+                out.append(entities.unescape(x) if "&" in x else x)
                 continue
-            if x is not top and _unwanted(x, True):
+            if x is not top and _unwanted(x, top.parent is not None):
                 out.append(" " if x.tag in _BLOCK else "")
                 continue
-            if removed and hashes and hashes.get(id(x)) in removed:
-                out.append(" ")
-                continue
             if x.tag in _BLOCK:
                 out.append(" ")
                 stack.append(" ")
             stack.extend(reversed(x.children))
-    return " ".join(entities.unescape("".join(out)).split())
+    return " ".join("".join(out).split())
 
 
-def subtree_hashes(root: Node) -> dict[int, int]:
-    """id(node) -> hash of tag and content, for the containers of a page.
+def subtree_hashes(root: Node) -> dict[Node, int]:
+    """Node -> hash of tag and content, for all elements of a page.
 
     Children are hashed before their parents; links and numbers of a subtree
     don't count, its texts do."""
-    order = list(_walk(root))
-    every: dict[int, int] = {}
-    for x in reversed(order):
-        h = xxhash.xxh64(x.tag.encode())
+    every: dict[Node, int] = {}
+    for x in reversed(list(_walk(root))):
+        parts = [x.tag.encode()]
         for c in x.children:
             if isinstance(c, str):
-                h.update(b"t" + " ".join(c.split()).encode("utf-8", "surrogatepass"))
+                parts.append(b"t" + " ".join(c.split()).encode("utf-8", "surrogatepass"))
             else:
-                h.update(b"n" + every[id(c)].to_bytes(8, "little"))
-        every[id(x)] = h.intdigest()
-    return {id(x): every[id(x)] - (1 << 63) for x in order if x.tag in _CONTAINER}
+                parts.append(b"n" + every[c].to_bytes(8, "little"))
+        every[x] = xxhash.xxh3_64_intdigest(b"\0".join(parts))
+    return every
+
+
+def containers(hashes: dict[Node, int]) -> dict[Node, int]:
+    """Those of the elements that may be templates, as signed hashes."""
+    return {x: h - (1 << 63) for x, h in hashes.items() if x.tag in _CONTAINER}
+
+
+def without_templates(root: Node, templates: set[int]) -> Node:
+    """The page less the subtrees of these hashes; each leaves a space."""
+    gone = {x for x, h in containers(subtree_hashes(root)).items() if h in templates}
+    for above in {x.parent for x in gone}:
+        above.children = [" " if x in gone else x for x in above.children]
+    return root
 
 
 def host_of(url: Column) -> Column:
@@ -188,12 +233,14 @@ def _page_key() -> Column:
     return F.xxhash64("page_id", "html", "url")
 
 
-def site_templates(pages: DataFrame, *, least_pages: int = 5, least_percent: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(subtrees, templates): hashes of the containers of each page, and those
-    of each host that recur on pages of at least ``least_pages`` different main
-    texts and ``least_percent`` % of the host's different main texts.
+def site_templates(pages: DataFrame, *, least_pages: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(subtrees, templates): the hashes of the containers of each page (key,
+    host, subtree, content), and (host, subtree, n) of those that recur on pages
+    of many different contents of the host: ``least_pages`` and the binary
+    logarithm of how many the host has.
 
-    Copies of an article on one host thus never make it a template.
+    So the count that makes a template hardly grows with the host, and copies of
+    an article on one host never make it a template.
     """
 
     def run(batches):
@@ -201,8 +248,9 @@ def site_templates(pages: DataFrame, *, least_pages: int = 5, least_percent: int
             key, host, subtree, content = [], [], [], []
             for k, name, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 root = parse(raw)
-                main = xxhash.xxh64(text_of(main_elements(root)).encode("utf-8", "surrogatepass")).intdigest() - (1 << 63)
-                for h in {*subtree_hashes(root).values()}:
+                hashes = subtree_hashes(root)
+                main = xxhash.xxh3_64_intdigest(b"".join([hashes[x].to_bytes(8, "little") for x in main_elements(root)])) - (1 << 63)
+                for h in {*containers(hashes).values()}:
                     key.append(k)
                     host.append(name)
                     subtree.append(h)
@@ -210,37 +258,41 @@ def site_templates(pages: DataFrame, *, least_pages: int = 5, least_percent: int
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(host, pa.string()), pa.array(subtree, pa.int64()), pa.array(content, pa.int64())], ["key", "host", "subtree", "content"])
 
     found = written(pages.select(_page_key().alias("key"), host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "key long, host string, subtree long, content long"), "subtrees")
-    one = found.groupBy("host", "subtree", "content").agg(F.lit(1).alias("one"))
-    often = one.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
-    whole = found.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    templates = often.join(whole, "host").where(100 * F.col("n") >= least_percent * F.col("pages")).select("host", "subtree")
-    return found, templates
+    # rows, for joins, and different contents, for the decision
+    one = found.groupBy("host", "subtree", "content").agg(F.count(F.lit(1)).alias("rows"))
+    often = one.groupBy("host", "subtree").agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages)
+    whole = found.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    # ``whole`` has one row a host, so a hot host is a few rows of ``often`` only
+    return found, written(often.join(whole, "host").where(F.col("pages") >= least_pages + F.log2("of")).select("host", "subtree", "n"), "templates")
 
 
-def extract_main_text(pages: DataFrame, *, least_pages: int = 5, least_percent: int = 20, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_main_text(pages: DataFrame, *, least_pages: int = 5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text): the article of every whole page.
 
-    Left out: menus, headers and footers of the page, sidebars, notices,
-    adverts, forms, comments of readers, scripts and styles, and the subtrees
-    that recur on many pages of the host (site_templates).  Character
-    references are decoded, white space in a block is one space, blocks are
-    joined by one in page order.  Null or empty html gives ''; a null url is a
-    host of its own name; ids may be null or repeat; other columns go.
+    First the subtrees that recur on many pages of the host go (site_templates);
+    of what is left the article is taken, less menus, headers and footers of
+    the page, sidebars, notices, adverts, forms, comments of readers, scripts
+    and styles.  Character references are decoded, white space in a block is one
+    space, blocks are joined by one in page order.
+
+    Null or empty html gives ''; a null url is a host of its own name; ids may
+    be null; repeated rows count as one page and give equal rows; pages are read
+    whole, in time in proportion to their length; an empty table gives no rows;
+    other columns go.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    found, templates = site_templates(rows, least_pages=least_pages, least_percent=least_percent)
-    removed = found.join(templates, ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("removed"))
+    found, templates = site_templates(rows, least_pages=least_pages)
+    on = ["host", "subtree"]
+    recurring = join_hot(found.select("key", *on), templates.select(*on), on, templates, found.count())
+    removed = recurring.groupBy("key").agg(F.collect_set("subtree").alias("removed"))
 
     def run(batches):
         for batch in slices(batches, "html"):
-            raw, gone = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             out = []
-            for x, templates in zip(raw, gone, strict=True):
-                root = parse(x or "")
-                out.append(text_of(main_elements(root), frozenset(templates or ()), subtree_hashes(root) if templates else None))
+            for raw, templates in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                root = parse(raw or "")
+                out.append(text_of(main_elements(without_templates(root, {*templates}) if templates else root)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     keyed = rows.withColumn("key", _page_key()).join(removed, "key", "left").select("page_id", "url", "html", "removed")
     return keyed.mapInArrow(run, "page_id long, url string, text string")
-
-

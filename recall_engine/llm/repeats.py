@@ -28,14 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recall_engine.llm.stage import discard, written
+from recall_engine.llm.stage import discard, join_hot, written
 from recall_engine.llm.textcols import slices, span_hash, window_min
 
-#: A key is hot from this share of all rows on, so there are at most as many hot
-#: keys; below LEAST_HOT rows no key is.
-HOT_SHARE, LEAST_HOT = 2_000, 1_000
-
-
 @dataclass
 class Read:
     """The units of a text column: prefix hashes, unit offsets of the rows, the
@@ -137,15 +132,6 @@ def contexts(rows: DataFrame, units: Units) -> DataFrame:
     return rows.mapInArrow(run, CONTEXT)
 
 
-def join_hot(rows: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, total: int) -> DataFrame:
-    """rows joined with right, where ``counts`` (on, n) says how many rows a key
-    has.  Keys of a 2,000th of all rows or more, thus at most 2,000, meet their
-    rows of ``right`` by a broadcast, so that none of them lands in one task."""
-    hot = F.broadcast(counts.where(F.col("n") >= max(LEAST_HOT, -(-total // HOT_SHARE))).select(*on))
-    usual = rows.join(hot, on, "left_anti").join(right, on)
-    return usual.unionByName(rows.join(hot, on, "left_semi").join(F.broadcast(right.join(hot, on, "left_semi")), on))
-
-
 def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by h, cut between anchors at about ``limit`` bytes."""
     held: list[pa.RecordBatch] = []

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recall_engine.llm.repeats import CONTEXT, Group, Read, Units, context_rows, join_hot, least_grams, repeated_windows, runs, with_spans
-from recall_engine.llm.stage import discard, keyed, public_id, written
+from recall_engine.llm.repeats import CONTEXT, Group, Read, Units, context_rows, least_grams, repeated_windows, runs, with_spans
+from recall_engine.llm.stage import discard, join_hot, keyed, public_id, written
 from recall_engine.llm.textcols import Words, prefix_hash, slices, span_hash
 
 
