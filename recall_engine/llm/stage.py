@@ -13,7 +13,7 @@ NULL_ID = -(2**63)
 
 #: A key is hot from this share of all rows on, so there are at most as many hot
 #: keys; below LEAST_HOT rows no key is.
-HOT_SHARE, LEAST_HOT = 2_000, 1_000
+HOT_SHARE, LEAST_HOT, SALTS = 2_000, 500, 64
 
 #: Folders made for applications in this process that name none.
 _own: dict[str, str] = {}
@@ -79,8 +79,11 @@ def public_id(col: str = "id") -> Column:
 
 def join_hot(rows: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, total: int) -> DataFrame:
     """rows joined with right, where ``counts`` (on, n) says how many rows a key
-    has.  Keys of a 2,000th of all rows or more, thus at most 2,000, meet their
-    rows of ``right`` by a broadcast, so that none of them lands in one task."""
-    hot = F.broadcast(counts.where(F.col("n") >= max(LEAST_HOT, -(-total // HOT_SHARE))).select(*on))
-    usual = rows.join(hot, on, "left_anti").join(right, on)
-    return usual.unionByName(rows.join(hot, on, "left_semi").join(F.broadcast(right.join(hot, on, "left_semi")), on))
+    has.  Keys of a 2,000th of all rows or more, thus at most 2,000, are salted:
+    their rows are dealt over many tasks, and what they meet is copied to each."""
+    least = max(LEAST_HOT, -(-total // HOT_SHARE))
+    hot = F.broadcast(counts.where(F.col("n") >= least).select(*on, F.least(F.lit(SALTS), F.ceil(F.col("n") / least)).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = rows.join(hot, on, "left").withColumn("salt", F.when(salts == 1, 0).otherwise(F.pmod(F.xxhash64(*rows.columns), salts)).cast("int")).drop("salts")
+    copied = right.join(hot, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return dealt.join(copied, [*on, "salt"]).drop("salt")
