@@ -21,21 +21,32 @@ from recall_engine.llm.tokenize import id_lists, unit_encoder
 class Capacity:
     """What one sequence can hold, and how residuals are weighed.
 
-    tokens; documents (pieces); attention: sum of squared piece lengths (the
-    cost of attention masked to documents).  measure: 'norm' takes the bin that
-    leaves the least weighted residual norm, 'dot' the one whose residual has
-    the largest weighted dot product with the piece.
+    tokens; documents (pieces); attention: the cost of attention that is masked
+    to documents and computed in tiles, the square of ceil(length / tile) summed
+    over the pieces.  One full piece costs (tokens / tile) ** 2, so the default
+    leaves room for 16 small ones beside it: small pieces are dealt over the
+    sequences instead of filling a few.
+
+    measure: 'norm' takes the bin that leaves the least weighted residual norm,
+    'dot' the one whose residual has the largest weighted dot product with the
+    piece.  Residuals count as shares of the capacities.
     """
 
     tokens: int = 1024
-    documents: int = 1024
-    attention: int = 1024 * 1024
-    weights: tuple[float, float, float] = (1.0, 0.001, 0.001)
+    documents: int = 256
+    attention: int = 272
+    tile: int = 64
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     measure: str = "norm"
     #: Pieces that one task's round works on: bounds memory; each round leaves
     #: at most a few bins part empty.
     round_pieces: int = 16_384
 
+    def needs(self, lengths: np.ndarray) -> np.ndarray:
+        """(3, pieces): tokens, documents and attention of each piece."""
+        tiles = np.ceil(lengths / self.tile)
+        return np.stack([lengths.astype(float), np.ones(len(lengths)), tiles * tiles])
+
 
 def cut_pieces(
     docs: DataFrame,
@@ -56,8 +67,9 @@ def cut_pieces(
 
     Only documents of more than ``tokens`` ids are cut: into full pieces, the
     first one shorter where the count is no multiple.  Null text counts as
-    empty (its one piece holds the end id), null ids stay null, repeated rows
-    give repeated pieces, an empty table none; other columns go.
+    empty (its one piece holds the end id), texts are encoded whole however
+    long, null ids stay null, repeated rows give repeated pieces, an empty table
+    none; other columns go.
     """
     measures = measures or {}
     schema = "doc_id long, piece int, start long, length long" + (", ids array<int>" if with_ids else "") + "".join(f", `{name}` long" for name in measures)
@@ -95,22 +107,22 @@ def cut_pieces(
 
 def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each piece: longest first, each into the open bin that
-    fits best by the capacity's measure under every constraint."""
+    fits best by the capacity's measure under every constraint, ties to the bin
+    opened first or moved up; a new bin where none fits."""
     full = np.array([capacity.tokens, capacity.documents, capacity.attention], float)
-    weights = np.array(capacity.weights)
-    scale = weights / full**2
+    scale = np.array(capacity.weights) / full**2
     order = np.argsort(-lengths, kind="stable")
     n = len(lengths)
+    needs = capacity.needs(lengths)
+    if n and (needs > full[:, None]).any():
+        raise ValueError(f"a piece of {int(lengths.max())} tokens exceeds a capacity")
+    least = needs.min(axis=1) if n else full
     bins, offsets = np.zeros(n, np.int64), np.zeros(n, np.int64)
     left = np.zeros((3, 1024))
     name = np.zeros(1024, np.int64)
     open_bins, made = 0, 0
-    least = float(lengths.min()) if n else 0.0
     for i in order:
-        size = float(lengths[i])
-        need = np.array([size, 1.0, size * size])
-        if (need > full).any():
-            raise ValueError(f"a piece of {int(size)} tokens exceeds a capacity")
+        need = needs[:, i]
         at = -1
         if open_bins:
             rest = left[:, :open_bins] - need[:, None]
@@ -129,7 +141,7 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
             open_bins, made = open_bins + 1, made + 1
         bins[i], offsets[i] = name[at], full[0] - left[0, at]
         left[:, at] -= need
-        if left[0, at] < least or left[1, at] < 1 or left[2, at] < least * least:
+        if (left[:, at] < least).any():
             open_bins -= 1
             left[:, at], name[at] = left[:, open_bins], name[open_bins]
     return bins, offsets
@@ -142,7 +154,8 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity(), length_col: str = "
     tasks, whatever their documents, and each task packs rounds of
     ``capacity.round_pieces`` by best fit.  The pieces are written before, so a
     task that runs again sees the same rows.  Columns of the two names are
-    replaced.
+    replaced, other columns stay; repeated rows are packed each, rows of null
+    length are left out; an empty table gives no rows.
     """
     keep = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     rows = written(pieces.select(*keep), "pieces")
@@ -172,7 +185,7 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity(), length_col: str = "
             yield place_all()
 
     full = rows.where(F.col(length_col) == capacity.tokens).withColumns({"sequence_id": F.monotonically_increasing_id() - F.lit(2**62), "offset": F.lit(0).cast("long")})
-    tasks = max(1, -(-rows.where(F.col(length_col) < capacity.tokens).count() // capacity.round_pieces))
-    rest = rows.where(F.col(length_col) < capacity.tokens)
+    rest = rows.where(F.col(length_col) != capacity.tokens)
+    tasks = max(1, -(-rest.count() // capacity.round_pieces))
     dealt = rest.repartition(tasks, F.xxhash64(*keep))
     return full.unionByName(dealt.mapInArrow(run, place))
