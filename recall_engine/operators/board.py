@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recall_engine.functions.text import text_similarity
 from recall_engine.operators.folds import ordered_fold
+from recall_engine.operators.matching import fuzzy_pairs
 
 
 def active_agents(log: DataFrame) -> DataFrame:
@@ -94,27 +94,60 @@ def orphaned_locks(locks: DataFrame, agents: DataFrame) -> DataFrame:
 def first_duplicate(proposals: DataFrame, tasks: DataFrame, title: float = 0.85, description: float = 0.75) -> DataFrame:
     """Proposals (project_id, proposal_id, title, description) with
     ``duplicate_of``: the latest task (by created_at, then id) of that project
-    whose title or description is nearly the same; null if there is none.
+    whose title or description is nearly the same; null if there is none."""
+    old = tasks.select("project_id", "task_id", "created_at", "title", "description")
+    pairs = fuzzy_pairs(proposals.select("project_id", "proposal_id", "title", "description"), old, ["project_id"], ["title", "description"], [title, description])
+    found = pairs.groupBy("project_id", "proposal_id").agg(F.max_by("task_id", F.struct("created_at", "task_id")).alias("duplicate_of"))
+    return proposals.join(found, ["project_id", "proposal_id"], "left")
 
-    Lengths are compared before texts: an edit distance is no less than their
-    difference.
-    """
 
-    def close_enough(a: str, b: str, least: float) -> Column:
-        x, y = F.length(F.trim(a)), F.length(F.trim(b))
-        # A text may shrink when white space collapses, so only such lengths prune
-        # that hold for texts without runs of white space.
-        plain = ~F.col(a).rlike(r"(?U)\s\s|[^\S ]") & ~F.col(b).rlike(r"(?U)\s\s|[^\S ]")
-        possible = ~plain | (F.least(x, y) >= least * F.greatest(x, y) - 1e-9)
-        return F.when(possible, text_similarity(F.col(a), F.col(b)) >= least).otherwise(False)
+def delegated(proposals: DataFrame, tasks: DataFrame, title: float = 0.85) -> DataFrame:
+    """(project_id, proposal_id, task_id, is_duplicate, status, description) of
+    proposals (project_id, proposal_id, title, description, context): the latest
+    task of nearly the same title stands for a proposal, with its status;
+    others become pending tasks whose description holds the context."""
+    old = tasks.select("project_id", "task_id", "created_at", "status", "title")
+    pairs = fuzzy_pairs(proposals.select("project_id", "proposal_id", "title"), old, ["project_id"], ["title"], [title])
+    found = pairs.groupBy("project_id", "proposal_id").agg(F.max_by(F.struct("task_id", "status"), F.struct("created_at", "task_id")).alias("old"))
+    text = F.concat(F.coalesce("description", F.lit("")), F.lit("\n\nContext:\n"), F.coalesce("context", F.lit("")))
+    return proposals.join(found, ["project_id", "proposal_id"], "left").select(
+        "project_id", "proposal_id", F.col("old.task_id").alias("task_id"), F.col("old").isNotNull().alias("is_duplicate"), F.coalesce("old.status", F.lit("PENDING")).alias("status"), F.when(F.col("old").isNull(), text).alias("description")
+    )
 
-    old = tasks.select("project_id", F.col("task_id"), F.col("created_at"), F.col("title").alias("old_title"), F.col("description").alias("old_description"))
-    pairs = proposals.join(old, "project_id").where(close_enough("title", "old_title", title) | close_enough("description", "old_description", description))
-    found = pairs.groupBy("project_id", "proposal_id").agg(F.max_by("task_id", F.struct("created_at", "task_id")).alias("duplicate_of"))
-    return proposals.join(found, ["project_id", "proposal_id"], "left")
+
+def cleanup_events(locks: DataFrame, agents: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
+    """(project_id, resource, agent_id, action) to append to a lock log: releases
+    of locks (project_id, resource, holder) whose holder isn't active or wasn't
+    heard of for ``minutes``.  agents: (project_id, agent_id, last_seen) of the
+    active ones."""
+    alive = agents.where(F.col("last_seen") >= now - F.make_dt_interval(mins=F.lit(minutes))).select("project_id", F.col("agent_id").alias("holder"))
+    return locks.join(alive, ["project_id", "holder"], "left_anti").select("project_id", "resource", F.col("holder").alias("agent_id"), F.lit("release").alias("action"))
+
+
+def resolved_agents(asked: DataFrame, agents: DataFrame) -> DataFrame:
+    """asked (name) with ``agent_id``: the agent of that id, else the one last
+    seen whose id is the name with a dash and more, else the name itself.
+
+    agents: (agent_id, last_seen).  Names meet agents by each part of their id
+    that ends before a dash."""
+    exact = agents.select(F.col("agent_id").alias("name"), F.lit(True).alias("_exact")).distinct()
+    parts = F.split("agent_id", "-")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "-"))
+    bases = agents.where(F.size(parts) > 1).select(F.explode(heads).alias("name"), "agent_id", "last_seen")
+    latest = bases.groupBy("name").agg(F.max_by("agent_id", F.struct("last_seen", "agent_id")).alias("_latest"))
+    return asked.join(exact, "name", "left").join(latest, "name", "left").select(*asked.columns, F.when(F.col("_exact"), F.col("name")).otherwise(F.coalesce("_latest", "name")).alias("agent_id"))
+
+
+def with_cards(agents: DataFrame, cards: DataFrame, fields: list[str]) -> DataFrame:
+    """Agents with the fields of their project's card; null without a card."""
+    return agents.join(cards.select("project_id", *fields), "project_id", "left")
 
 
-def routing_decision(checked: DataFrame, by: str) -> DataFrame:
-    """(by, valid, duplicates, action): 'proceed' when nothing is left to delegate."""
-    valid = F.count_if(F.col("duplicate_of").isNull())
-    return checked.groupBy(by).agg(valid.alias("valid"), F.count("duplicate_of").alias("duplicates"), F.when(valid == 0, "proceed").otherwise("delegate").alias("action"))
+def routing_decision(checked: DataFrame, by: str, own: DataFrame | None = None) -> DataFrame:
+    """(by, valid, duplicates, action): 'proceed' when nothing is left to
+    delegate, 'mixed' where ``own`` (by, responsibilities) has work left for the
+    project itself beside what is delegated, else 'delegate'."""
+    counted = checked.groupBy(by).agg(F.count_if(F.col("duplicate_of").isNull()).alias("valid"), F.count("duplicate_of").alias("duplicates"))
+    counted = counted.withColumn("responsibilities", F.lit(0)) if own is None else counted.join(own, by, "left")
+    action = F.when(F.col("valid") == 0, "proceed").when(F.coalesce("responsibilities", F.lit(0)) > 0, "mixed").otherwise("delegate")
+    return counted.select(by, "valid", "duplicates", action.alias("action"))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from recall_engine.functions import text as T
 from recall_engine.operators import code_chunks as C
-from recall_engine.operators import embedding, indexing, knowledge
-from recall_engine.plans.queries import _COVERAGE, _coverage
+from recall_engine.operators import coverage, embedding, indexing, knowledge
+from recall_engine.plans.queries import _COVERAGE, file_states
 from recall_engine.plans.registered import count, query
 
 _RENDERED = "SELECT o_custkey, string_agg(CASE WHEN o_orderstatus = 'F' THEN '- [x] ' ELSE '- [ ] ' END || 'Order ' || o_orderkey, chr(10) ORDER BY o_orderkey) AS text FROM orders GROUP BY o_custkey"
@@ -95,7 +95,9 @@ def doc_stats(d):
 
 @query("documents", "labels", sql=f"SELECT source FROM ({_COVERAGE}) GROUP BY source HAVING count(*) > 5 AND count(*) FILTER (indexed) = 0")
 def coverage_gaps(d, labels):
-    return _coverage(d, labels).groupBy("source").agg(count().alias("n"), F.count_if("indexed").alias("i")).where("n > 5 AND i = 0").select("source")
+    """Projects of more than five files of which the index knows none."""
+    counts = coverage.by(file_states(d, labels), "source")
+    return coverage.gaps(counts.withColumn("indexed", F.col("indexed") + F.col("pending")), 5).select("source")
 
 
 @query("documents", "labels", sql="SELECT doc_id, md5(text) AS hash, FALSE AS fresh FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, md5(text || '!') AS hash, TRUE FROM documents JOIN labels USING (doc_id)")

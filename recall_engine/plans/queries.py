@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recall_engine.functions import text as T
-from recall_engine.operators import chunking, vectors
+from recall_engine.operators import chunking, coverage, matching, vectors
 from recall_engine.plans.registered import count, query
 from recall_engine.streaming.events import session_counts
 
@@ -73,38 +73,39 @@ def file_rollup(d):
 _COVERAGE = "SELECT d.*, l.doc_id IS NOT NULL AS indexed, coalesce(l.quality, 1) = 0 AS pending FROM documents d LEFT JOIN labels l USING (doc_id)"
 
 
-def _coverage(d, labels):
-    return d.join(labels.select("doc_id", "quality"), "doc_id", "left").withColumns({"indexed": F.expr("quality IS NOT NULL"), "pending": F.expr("coalesce(quality, 1) = 0")})
+def file_states(d: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents with their status: labels are the index, out of date where the quality is 0."""
+    index = labels.select("doc_id", F.lit("").alias("hash"), F.lit(1).alias("chunks"), F.col("quality").alias("_quality"))
+    files = d.join(index.select("doc_id", "_quality"), "doc_id", "left")
+    return coverage.file_status(files, index.drop("_quality"), F.col("_quality") == 0, "doc_id")
 
 
 @query("documents", "labels", sql=f"SELECT count(*) AS total, count(*) FILTER (indexed AND NOT pending) AS indexed, count(*) FILTER (pending) AS pending, count(*) FILTER (NOT indexed) AS missing, sum(n_chars)::BIGINT AS size, round(100.0 * count(*) FILTER (indexed AND NOT pending) / count(*), 4)::DOUBLE AS percent FROM ({_COVERAGE})")
 def coverage_totals(d, labels):
-    done = F.count_if(F.col("indexed") & ~F.col("pending"))
-    return _coverage(d, labels).agg(count().alias("total"), done.alias("indexed"), F.count_if("pending").alias("pending"), F.count_if(~F.col("indexed")).alias("missing"), F.sum("n_chars").alias("size"), F.round(100 * done / count(), 4).alias("percent"))
+    return coverage.totals(file_states(d, labels), "n_chars").select("total", "indexed", "pending", "missing", "size", F.round("percent", 4).alias("percent"))
 
 
 @query("documents", "labels", sql=f"SELECT lang, count(*) AS total, count(*) FILTER (indexed) AS indexed FROM ({_COVERAGE}) GROUP BY lang")
 def coverage_by_lang(d, labels):
-    return _coverage(d, labels).groupBy("lang").agg(count().alias("total"), F.count_if("indexed").alias("indexed"))
+    return coverage.by(file_states(d, labels), "lang").select("lang", "total", (F.col("indexed") + F.col("pending")).alias("indexed"))
 
 
 @query("documents", "labels", sql=f"SELECT source, count(*) AS total, count(*) FILTER (indexed) AS indexed, count(*) FILTER (pending) AS pending FROM ({_COVERAGE}) GROUP BY source")
 def coverage_by_dir(d, labels):
-    return _coverage(d, labels).groupBy("source").agg(count().alias("total"), F.count_if("indexed").alias("indexed"), F.count_if("pending").alias("pending"))
+    return coverage.by(file_states(d, labels), "source").select("source", "total", (F.col("indexed") + F.col("pending")).alias("indexed"), "pending")
 
 
 @query("documents", "labels", sql=f"SELECT lang, CASE WHEN 100 * i < 50 * n THEN 'low' WHEN 100 * i < 80 * n THEN 'medium' WHEN i = n THEN 'full' ELSE 'good' END AS coverage, p > 0 AS reindex FROM (SELECT lang, count(*) AS n, count(*) FILTER (indexed AND NOT pending) AS i, count(*) FILTER (pending) AS p FROM ({_COVERAGE}) GROUP BY lang)")
 def coverage_rules(d, labels):
-    c = _coverage(d, labels).groupBy("lang").agg(count().alias("n"), F.count_if(F.col("indexed") & ~F.col("pending")).alias("i"), F.count_if("pending").alias("p"))
-    return c.select("lang", F.expr("CASE WHEN 100 * i < 50 * n THEN 'low' WHEN 100 * i < 80 * n THEN 'medium' WHEN i = n THEN 'full' ELSE 'good' END").alias("coverage"), (F.col("p") > 0).alias("reindex"))
+    c = coverage.by(file_states(d, labels), "lang")
+    return c.select("lang", F.expr("CASE WHEN 100 * indexed < 50 * total THEN 'low' WHEN 100 * indexed < 80 * total THEN 'medium' WHEN indexed = total THEN 'full' ELSE 'good' END").alias("coverage"), (F.col("pending") > 0).alias("reindex"))
 
 
 @query("pages", sql="WITH p AS (SELECT string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/') AS parts, strlen(html) AS size FROM pages) SELECT array_to_string(parts[1:k], '/') AS folder, count(*) AS files, sum(size)::BIGINT AS bytes FROM p, unnest(range(1, len(parts))) AS t(k) GROUP BY 1")
 def coverage_tree(p):
-    parts = F.split(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", ""), "/", -1)
-    rows = p.select(parts.alias("parts"), F.octet_length("html").alias("size")).where(F.size("parts") > 1)
-    folders = rows.select("parts", "size", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("k"))
-    return folders.groupBy(F.array_join(F.slice("parts", 1, F.col("k")), "/").alias("folder")).agg(count().alias("files"), F.sum("size").alias("bytes"))
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    rows = p.select(path.alias("path"), F.octet_length("html").alias("bytes"), F.lit(coverage.INDEXED).alias("status"), F.lit(1).cast("long").alias("chunks"))
+    return coverage.tree(rows, size="bytes").select("folder", F.col("total").alias("files"), F.col("size").alias("bytes"))
 
 
 _OLD = "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE md5(text) END AS old_hash FROM documents WHERE doc_id % 5 <> 0"
@@ -132,12 +133,10 @@ _SIM = "1 - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b}))"
 
 @query("part", sql=f"SELECT p_partkey, match FROM (SELECT a.p_partkey, b.p_partkey AS match, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_partkey DESC) AS r FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND b.p_partkey < a.p_partkey WHERE {_SIM.format(a='lower(trim(a.p_name))', b='lower(trim(b.p_name))')} >= 0.85) WHERE r = 1")
 def fuzzy_dedup(p):
-    """The latest earlier part of the same brand and type with nearly the same name."""
-    a = p.select("p_partkey", "p_brand", "p_type", F.col("p_name").alias("a"))
-    b = p.select(F.col("p_partkey").alias("match"), "p_brand", "p_type", F.col("p_name").alias("b"))
-    longest, shortest = F.greatest(F.length("a"), F.length("b")), F.least(F.length("a"), F.length("b"))
-    near = a.join(b, ["p_brand", "p_type"]).where((F.col("match") < F.col("p_partkey")) & (shortest >= 0.85 * longest - 1e-9)).where(T.text_similarity(F.col("a"), F.col("b")) >= 0.85)
-    return near.groupBy("p_partkey").agg(F.max("match").alias("match"))
+    """The latest earlier part of the same brand and type (the project) with nearly the same name."""
+    a = p.select("p_partkey", "p_brand", "p_type", F.col("p_name").alias("name"))
+    pairs = matching.fuzzy_pairs(a, a.withColumnRenamed("p_partkey", "match"), ["p_brand", "p_type"], ["name"], [0.85])
+    return pairs.where(F.col("match") < F.col("p_partkey")).groupBy("p_partkey").agg(F.max("match").alias("match"))
 
 
 @query("supplier", "nation", sql=f"SELECT n_nationkey, s_suppkey, score FROM (SELECT n.n_nationkey, s.s_suppkey, round({_SIM.format(a='lower(n.n_name)', b='lower(s.s_name)')}, 6) AS score, row_number() OVER (PARTITION BY n.n_nationkey ORDER BY {_SIM.format(a='lower(n.n_name)', b='lower(s.s_name)')} DESC, s.s_suppkey) AS r FROM nation n JOIN supplier s ON s.s_nationkey = n.n_nationkey) WHERE r = 1")

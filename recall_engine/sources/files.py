@@ -1,27 +1,91 @@
-"""Scanning folders of files."""
+"""Scanning folders of files, and reading and writing single ones."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recall_engine.functions.text import LANGUAGES, extension, language
+from recall_engine.functions.text import extension, is_code_file, language
+from recall_engine.sources.ignore import Rule, ignored, load_rules
 
-# Folders that are never scanned.
-IGNORED = [".git", "node_modules", "dist", "build", "out"]
 
+def file_rows(files: DataFrame, root: str) -> DataFrame:
+    """(path, absolute_path, hash, size, mtime, language, extension, content) of
+    rows of Spark's binaryFile source; path is relative to ``root``."""
+    whole = F.regexp_replace("path", "^file:/+", "/")
+    base = root.rstrip("/").removeprefix("file://").removeprefix("file:") + "/"
+    inner = F.when(whole.startswith(base), F.expr(f"substring(absolute_path, {len(base) + 1})")).otherwise(F.substring_index("absolute_path", "/", -1))
+    rows = files.withColumn("absolute_path", whole).withColumn("path", inner)
+    return rows.select(
+        "path",
+        "absolute_path",
+        F.sha2("content", 256).alias("hash"),
+        F.col("length").alias("size"),
+        F.col("modificationTime").alias("mtime"),
+        language(F.col("path")).alias("language"),
+        extension(F.col("path")).alias("extension"),
+        F.col("content").cast("string").alias("content"),
+    )
 
-def scan_files(spark: SparkSession, root: str, most_bytes: int = 10 << 20, include_hidden: bool = False) -> DataFrame:
-    """(path, hash, size, mtime, language, extension, content) of the code files
-    below ``root``, read in parallel; hidden, ignored and oversize ones stay out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rows = files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-    rows = rows.where((F.col("size") <= most_bytes) & extension(F.col("path")).isin(*LANGUAGES))
-    inner = F.split(F.expr(f"substring(path, {len(root.rstrip('/')) + 2})"), "/")
-    rows = rows.where(~F.arrays_overlap(inner, F.array(*map(F.lit, IGNORED))))
-    if not include_hidden:
-        rows = rows.where(~F.exists(inner, lambda x: x.startswith(".")))
-    return rows.select("path", F.sha2("content", 256).alias("hash"), "size", "mtime", language(F.col("path")).alias("language"), extension(F.col("path")).alias("extension"), F.col("content").cast("string").alias("content"))
+
+def wanted(path: Column, rules: list[Rule], include_hidden: bool = False) -> Column:
+    """Whether a scan takes a relative path: code, not ignored, and not hidden."""
+    seen = is_code_file(path) & ~ignored(path, rules)
+    return seen if include_hidden else seen & ~F.exists(F.split(path, "/"), lambda x: x.startswith("."))
+
+
+def scan_files(spark: SparkSession, root: str, most_bytes: int = 10 << 20, include_hidden: bool = False, rules: list[Rule] | None = None) -> DataFrame:
+    """file_rows of the code files below ``root``, read in parallel.
+
+    Hidden, ignored (``rules``, or the root's ignore files) and oversize ones
+    stay out.  A root that isn't a folder raises.
+    """
+    rules = load_rules(spark, root) if rules is None else rules
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(place) or not files.getFileStatus(place).isDirectory():
+        raise NotADirectoryError(root)
+    rows = file_rows(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root), root)
+    return rows.where((F.col("size") <= most_bytes) & wanted(F.col("path"), rules, include_hidden))
+
+
+def scan_file(spark: SparkSession, path: str, root: str) -> DataFrame:
+    """file_rows of one file, whatever the ignore rules and its size; no row if
+    it isn't there or isn't code."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(place) or files.getFileStatus(place).isDirectory():
+        return file_rows(spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary"), root)
+    return file_rows(spark.read.format("binaryFile").load(path), root).where(is_code_file(F.col("path")))
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes one small file on any file system, folders included."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(place, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_file(spark: SparkSession, root: str, path: str, text: str, agent_id: str, held: DataFrame) -> str | None:
+    """Writes ``path`` below ``root`` unless another agent holds its lock.
+
+    held: locks (resource, holder).  Returns that agent, or None once written;
+    scan_file then gives the row to re-index.
+    """
+    other = held.where((F.col("resource") == path) & (F.col("holder") != agent_id)).select("holder").first()
+    if other:
+        return other[0]
+    put_text(spark, f"{root.rstrip('/')}/{path}", text)
+    return None
+
+
+def list_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, content) of the Markdown files of a folder, without the extension."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
+    return files.select(F.regexp_replace(F.substring_index("path", "/", -1), r"\.md$", "").alias("name"), F.col("content").cast("string").alias("content"))
 
 
 def changed(current: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
