@@ -17,6 +17,22 @@ def pack_lines(lines: list[str], most: int, overlap: int) -> Iterator[tuple[int,
     (with the line end) stay within ``most``; a new chunk repeats tail lines
     until they hold ``overlap`` tokens."""
     cost = [-(-(len(x) + 1) // 4) for x in lines]
+    if len(lines) == 1 and cost[0] > most:
+        # a line that is too long by itself is cut, each part of the same line
+        width = 4 * most - 1
+        for at in range(0, len(lines[0]), width):
+            yield 1, 1, lines[0][at : at + width]
+        return
+    if max(cost, default=0) > most:
+        at = 0
+        for i, c in enumerate([*cost, most + 1]):
+            if c > most:
+                if i > at:
+                    yield from ((a + at, b + at, x) for a, b, x in pack_lines(lines[at:i], most, overlap))
+                if i < len(lines):
+                    yield from ((i + 1, i + 1, x) for _, _, x in pack_lines(lines[i : i + 1], most, overlap))
+                at = i + 1
+        return
     first, size = 0, 0
     for i, c in enumerate(cost):
         if size + c > most and i > first:

@@ -2,8 +2,9 @@
 
 Python files are parsed by the language's own parser; files of other languages
 are scanned for lines that begin a declaration, whose extent follows from
-braces or indentation.  Files without declarations, or that don't parse, are
-one chunk; chunks above the token limit are cut by lines.
+braces or indentation.  Python that doesn't parse is scanned by indentation.
+Files without declarations are one chunk; chunks above the token limit are cut
+by lines, and lines above it by characters.
 """
 
 from __future__ import annotations
@@ -64,6 +65,33 @@ def python_declarations(text: str) -> list[Chunk]:
     return found
 
 
+_PYTHON = re.compile(r"^([ \t]*)(?:(class)|(?:async[ \t]+)?def)[ \t]+(\w+)")
+
+
+def indented_declarations(text: str) -> list[Chunk]:
+    """Functions and classes of Python that doesn't parse: each from its line to
+    the next one that isn't indented deeper, blank lines and comments aside."""
+    lines, found = text.split("\n"), []
+    open_: list[tuple[int, Chunk]] = []
+    last = 0
+    for i, line in enumerate(lines, 1):
+        bare = line.strip()
+        if not bare or bare.startswith("#"):
+            continue
+        depth = len(line) - len(line.lstrip())
+        while open_ and open_[-1][0] >= depth:
+            open_.pop()[1].end_line = last
+        if m := _PYTHON.match(line):
+            above = open_[-1][1] if open_ else None
+            kind = "class" if m[2] else "method" if above and above.chunk_type == "class" else "function"
+            found.append(Chunk(i, i, kind, m[3], above.name if above else ""))
+            open_.append((depth, found[-1]))
+        last = i
+    for _, chunk in open_:
+        chunk.end_line = last
+    return found
+
+
 def _extent(lines: list[str], at: int) -> int:
     """Last line (0-based) of the declaration that begins at a line: where its
     braces close, or before the next line that is indented no deeper."""
@@ -118,7 +146,7 @@ def chunks_of(text: str, language: str, most: int, hard: int, overlap: int) -> I
         try:
             found = python_declarations(text) if language == "python" else braced_declarations(text)
         except (SyntaxError, ValueError, RecursionError):
-            found = []
+            found = indented_declarations(text)
     context = ""
     if found:
         head = lines[: found[0].start_line - 1]

@@ -44,18 +44,48 @@ def read_index(spark: SparkSession, path: str, project_id: str | None = None) ->
     return rows if project_id is None else rows.where(F.col("project_id") == project_id)
 
 
-def update_index(spark: SparkSession, files: DataFrame, path: str, embedder: Embedder, now: Column, staging: str, force: bool = False) -> DataFrame:
+def index_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
+def without_chunks(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """The index less the chunks of these ids (id)."""
+    return index.join(ids.select("id").distinct(), "id", "left_anti")
+
+
+def without_files(index: DataFrame, files: DataFrame) -> DataFrame:
+    """The index less these files (project_id, file_path)."""
+    return index.join(files.select(*FILE_KEY).distinct(), FILE_KEY, "left_anti")
+
+
+def clear_index(spark: SparkSession, path: str, project_id: str | None = None) -> None:
+    """Deletes an index, or one project of it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path if project_id is None else f"{path}/project_id={project_id}")
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def update_index(spark: SparkSession, files: DataFrame, path: str, embedder: Embedder, now: Column, staging: str, force: bool = False, whole: bool = False) -> DataFrame:
     """Brings an index up to date and returns (project_id, files, chunks) of the run.
 
     Rows go to ``staging`` first: the projects' partitions are only replaced
-    once everything is computed.
+    once everything is computed.  An index that isn't there yet is created.
+    whole: ``files`` are all files of their projects, so others leave the index.
     """
+    if not index_exists(spark, path):
+        fresh = index_rows(files, embedder, now)
+        write_index(fresh, path)
+        fresh = read_index(spark, path).join(files.select("project_id").distinct(), "project_id", "left_semi")
+        return fresh.groupBy("project_id").agg(F.count_distinct("file_path").alias("files"), F.count(F.lit(1)).alias("chunks"))
     index = read_index(spark, path)
     fresh = index_rows(changed_files(files, index, force), embedder, now)
     fresh.write.parquet(f"{staging}/fresh")
     fresh = spark.read.parquet(f"{staging}/fresh")
-    touched = fresh.select("project_id").distinct()
-    replace_files(index.join(touched, "project_id", "left_semi"), fresh.select(*index.columns)).write.parquet(f"{staging}/all")
+    touched = (files if whole else fresh).select("project_id").distinct()
+    kept = index.join(touched, "project_id", "left_semi")
+    if whole:
+        kept = kept.join(files.select("project_id", F.col("path").alias("file_path")).distinct(), FILE_KEY, "left_semi")
+    replace_files(kept, fresh.select(*index.columns)).write.parquet(f"{staging}/all")
     write_index(spark.read.parquet(f"{staging}/all"), path)
     return fresh.groupBy("project_id").agg(F.count_distinct("file_path").alias("files"), F.count(F.lit(1)).alias("chunks"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 import re
+import tempfile
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -156,9 +157,14 @@ class Extract:
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint, so that rounds don't repeat each other's plans; a
-    local one where the session has no folder for them."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    """``df`` as a checkpoint in the session's folder, so that rounds don't repeat
+    each other's plans.  Only where all runs in this process is a folder made."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="recall-checkpoints-"))
+    return df.checkpoint()
 
 
 def summarise_to_budget(chunks: DataFrame, summarise: Summarise, *, threshold: int = 100_000, most: int = 80_000, depth: int = 3, by: str = "project_id") -> DataFrame:
@@ -195,3 +201,84 @@ def summarise_to_budget(chunks: DataFrame, summarise: Summarise, *, threshold: i
     over, last = large(rows), Extract(500)
     cut = rows.join(over, by).select(*rows.columns)
     return rows.join(over, by, "left_anti").unionByName(cut.mapInPandas(each(last.batch if depth else last), cut.schema))
+
+
+def decision_count(text: Column) -> Column:
+    """Decisions of a log: headings of level three that begin with a date."""
+    return F.regexp_count(text, F.lit(r"(?m)^### \d{4}-\d{2}-\d{2}")).cast("long")
+
+
+def bullets(items: Column, empty: str, mark: str = "- ") -> Column:
+    """A line for each item of an array, or one that says there is none."""
+    lines = F.array_join(F.transform(items, lambda x: F.concat(F.lit(mark), x)), "\n")
+    return F.when(F.coalesce(F.size(items), F.lit(0)) > 0, lines).otherwise(F.lit(mark + empty))
+
+
+def decision_entry(date: Column, title: Column, decision: Column, rationale: Column, alternatives: Column, impact: Column, category: Column) -> Column:
+    """The entry of a decision in the log; parts that are null or empty are left out."""
+    mark = mark_of(F.coalesce(category, F.lit("")), CATEGORY_MARKS, "📌")
+    part = lambda head, value: F.when(value != "", F.concat(F.lit(f"\n**{head}**"), value, F.lit("\n"))).otherwise("")
+    others = F.when(F.coalesce(F.size(alternatives), F.lit(0)) > 0, F.concat(F.lit("\n**Alternatives Considered**:\n"), bullets(alternatives, ""), F.lit("\n"))).otherwise("")
+    head = F.concat(F.lit("### "), date, F.lit(" - "), mark, F.lit(" "), title, F.lit("\n\n**Decision**: "), decision, F.lit("\n\n**Rationale**: "), rationale, F.lit("\n"))
+    return F.concat(head, others, F.coalesce(part("Impact", F.concat(F.lit(": "), F.nullif(impact, F.lit("")))), F.lit("")), F.coalesce(part("Category", F.concat(F.lit(": "), mark, F.lit(" "), F.nullif(category, F.lit("")))), F.lit("")), F.lit("\n---\n"))
+
+
+def with_entry(log: Column, entry: Column, head: str = "## Decisions") -> Column:
+    """A log with an entry below its heading, above those before; without the
+    heading it comes with it at the end."""
+    place = F.instr(log, F.lit(f"{head}\n"))
+    before = F.substring(log, F.lit(1), (place + len(head)).cast("int"))
+    after = F.substring(log, (place + len(head) + 1).cast("int"), F.length(log))
+    return F.when(place > 0, F.concat(before, F.lit("\n"), entry, after)).otherwise(F.concat(F.coalesce(log, F.lit("")), F.lit(f"\n{head}\n\n"), entry))
+
+
+def active_context(session: DataFrame, history: DataFrame, by: str, most: int = 10) -> DataFrame:
+    """(by, text): the active context of each project.
+
+    session: (by, date, mode, task, changes, questions, steps, notes), one row
+    each; history: (by, date, mode, task, notes, seq), of which the latest
+    sessions are listed after the one at hand.
+    """
+    row = lambda x: F.concat(F.lit("| "), F.concat_ws(" | ", x["date"], x["mode"], x["task"], x["notes"]), F.lit(" |"))
+    old = recent_history(history, by, ["seq"], most - 1).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("place", "date", "mode", "task", "notes"))).alias("_old"))
+    now = session.join(old, by, "left")
+    note = F.coalesce(F.nullif("notes", F.lit("")), F.lit("Session updated"))
+    first = F.struct("date", "mode", "task", note.alias("notes"))
+    table = F.array_join(F.concat(F.array(row(first)), F.coalesce(F.transform("_old", row), F.array().cast("array<string>"))), "\n")
+    parts = [
+        F.lit("# Active Context\n\n## Current Session\n- **Date**: "), F.col("date"), F.lit("\n- **Mode**: "), F.col("mode"), F.lit("\n- **Current Task**: "), F.col("task"),
+        F.lit("\n\n## Session History\n| Date | Mode | Task | Notes |\n|------|------|------|-------|\n"), table,
+        F.lit("\n\n## Recent Changes\n"), bullets(F.col("changes"), "No recent changes recorded"),
+        F.lit("\n\n## Open Questions\n"), bullets(F.col("questions"), "No open questions"),
+        F.lit("\n\n## Next Steps\n"), bullets(F.col("steps"), "Continue development", "- [ ] "),
+        F.lit("\n\n## Active Considerations\n"), F.coalesce(F.nullif("notes", F.lit("")), F.lit("_No additional considerations_")), F.lit("\n"),
+    ]
+    return now.select(by, F.concat(*parts).alias("text"))
+
+
+def documents_to_update(changed: DataFrame, by: str = "project_id") -> DataFrame:
+    """(by, documents): which documents changed paths (by, path) make out of date:
+    the running ones always, the technical one for a configuration file, the
+    brief for an entry file, patterns and product above five files."""
+    name = F.lower(F.substring_index("path", "/", -1))
+    config = F.bool_or(name.rlike(r"^(package\.json|tsconfig\.json|dockerfile|makefile|pyproject\.toml|cargo\.toml|go\.mod)$|config"))
+    entry = F.bool_or(name.rlike(r"^(index|main|app|readme)\b"))
+    found = changed.groupBy(by).agg(config.alias("c"), entry.alias("e"), F.count(F.lit(1)).alias("n"))
+    some = F.col("n") > 5
+    wanted = [F.lit("activeContext"), F.lit("progress"), F.when(F.col("c"), "techContext"), F.when(F.col("e"), "projectBrief"), F.when(some, "systemPatterns"), F.when(some, "productContext")]
+    return found.select(by, F.array_compact(F.array(*wanted)).alias("documents"))
+
+
+def document_summary(documents: DataFrame, reasoner: Callable[[str], str], by: str = "project_id") -> DataFrame:
+    """(by, summary): the JSON object that a reasoner makes of each project's
+    brief, patterns and product documents (by, name, text); null where its
+    answer holds none.  Calls are made where the documents lie."""
+    parts = documents.where(F.col("name").isin("projectBrief", "systemPatterns", "productContext", "techContext"))
+    prompts = parts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("name", "text"))).alias("x")).select(by, F.array_join(F.transform("x", lambda d: F.concat(F.lit("## "), d["name"], F.lit("\n"), d["text"])), "\n\n").alias("prompt"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(answer=[reasoner(x) for x in frame["prompt"]]).drop(columns="prompt")
+
+    kind = prompts.schema[by].dataType.simpleString()
+    return prompts.mapInPandas(run, f"{by} {kind}, answer string").select(by, json_object(F.col("answer")).alias("summary"))

@@ -36,12 +36,45 @@ def lock_stream(log: DataFrame) -> DataFrame:
 
 
 def follow_files(files: DataFrame, index_path: str, embedder: Embedder, staging: str, checkpoint: str):
-    """A stream of files (project_id, path, language, hash, content) brought into
-    the index batch by batch; a batch run again finds its files unchanged."""
+    """A stream of files (project_id, path, language, hash, content, mtime) brought
+    into the index batch by batch; of several versions of a file in a batch the
+    latest counts, and a batch run again finds its files unchanged."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        last = batch.groupBy("project_id", "path").agg(F.max_by(F.struct(*batch.columns), F.col("hash")).alias("x")).select("x.*")
+        latest = F.struct("mtime", "hash") if "mtime" in batch.columns else F.struct("hash")
+        last = batch.groupBy("project_id", "path").agg(F.max_by(F.struct(*batch.columns), latest).alias("x")).select("x.*")
         run = f"{staging}/{batch_id}-{pd.Timestamp.now().value}"
         update_index(batch.sparkSession, last, index_path, embedder, F.current_timestamp(), run)
 
     return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+
+
+def append_events(events: DataFrame, path: str, checkpoint: str):
+    """A stream of events appended to a log of Parquet files, each exactly once."""
+    return events.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+
+
+def retained(events: DataFrame, days: int = 30, late: str = "1 hour", seq: str = "event_id") -> DataFrame:
+    """Each event of a stream once, whatever its source repeats: what is known of
+    an event is forgotten ``days`` after the latest one, and events older than
+    that are left out."""
+    stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{days} days" if days else late)
+    return stamped.dropDuplicatesWithinWatermark([seq])
+
+
+def stale_stream(heartbeats: DataFrame, minutes: int = 30, late: str = "10 minutes") -> DataFrame:
+    """(agent_id, last_seen) of agents of a stream (agent_id, ts) once event time
+    has passed their last heartbeat by ``minutes``; their state is dropped then."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            last = state.get[0]
+            state.remove()
+            yield pd.DataFrame({"agent_id": [key[0]], "last_seen": [pd.Timestamp(last, unit="ms")]})
+            return
+        last = max([int(f["ms"].max()) for f in frames] + ([state.get[0]] if state.exists else []))
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+
+    stamped = heartbeats.select(F.col("agent_id").cast("string").alias("agent_id"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    return stamped.withColumn("ms", F.unix_millis("ts")).groupBy("agent_id").applyInPandasWithState(run, "agent_id string, last_seen timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
