@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recall_engine.functions.text import extension, is_code_file, language
-from recall_engine.sources.ignore import Rule, ignored, load_rules
+from recall_engine.sources.ignore import Rule, file_system, ignored, load_rules
 
 
 def file_rows(files: DataFrame, root: str) -> DataFrame:
@@ -38,11 +38,12 @@ def scan_files(spark: SparkSession, root: str, most_bytes: int = 10 << 20, inclu
     """file_rows of the code files below ``root``, read in parallel.
 
     Hidden, ignored (``rules``, or the root's ignore files) and oversize ones
-    stay out.  A root that isn't a folder raises.
+    stay out, and so do empty ones, which hold nothing to index.  A root that isn't a folder raises.  Spark's source never lists
+    names that begin with a dot or an underscore, so ``include_hidden`` takes in
+    hidden folders that the root itself lies in, and no more.
     """
     rules = load_rules(spark, root) if rules is None else rules
-    place = spark._jvm.org.apache.hadoop.fs.Path(root)
-    files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files, place = file_system(spark, root)
     if not files.exists(place) or not files.getFileStatus(place).isDirectory():
         raise NotADirectoryError(root)
     rows = file_rows(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root), root)
@@ -52,8 +53,7 @@ def scan_files(spark: SparkSession, root: str, most_bytes: int = 10 << 20, inclu
 def scan_file(spark: SparkSession, path: str, root: str) -> DataFrame:
     """file_rows of one file, whatever the ignore rules and its size; no row if
     it isn't there or isn't code."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files, place = file_system(spark, path)
     if not files.exists(place) or files.getFileStatus(place).isDirectory():
         return file_rows(spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary"), root)
     return file_rows(spark.read.format("binaryFile").load(path), root).where(is_code_file(F.col("path")))
@@ -61,8 +61,8 @@ def scan_file(spark: SparkSession, path: str, root: str) -> DataFrame:
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
     """Writes one small file on any file system, folders included."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(place, True)
+    files, place = file_system(spark, path)
+    out = files.create(place, True)
     try:
         out.write(bytearray(text.encode()))
     finally:

@@ -68,13 +68,25 @@ def rules_of(text: str) -> list[Rule]:
     return [rule for line in text.split("\n") if (rule := rule_of(line))]
 
 
-def read_text(spark: SparkSession, path: str) -> str | None:
-    """The text of one small file of any file system; None if there is none."""
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) for calls on single files; local ones without the
+    checksum files that editors don't keep up to date."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return (files.getRaw() if files.getScheme() == "file" else files), place
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of one small file of any file system; None if there is none."""
+    files, place = file_system(spark, path)
     if not files.exists(place) or files.getFileStatus(place).isDirectory():
         return None
-    return spark.read.text(path, wholetext=True).first()[0] if files.getFileStatus(place).getLen() else ""
+    # Spark's own sources leave out files whose names begin with a dot
+    stream = files.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def load_rules(spark: SparkSession, root: str) -> list[Rule]:
