@@ -14,6 +14,8 @@ from recall_engine.llm.stage import written
 
 #: Rows, and queries, of one bucket that one task compares; larger ones are dealt out.
 BLOCK_ROWS = 4096
+#: Large buckets that may be broadcast; more of them are joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 
 @dataclass(frozen=True)
@@ -211,7 +213,9 @@ def _compare(rows: DataFrame, queries: DataFrame, k: int, all_parts: bool = Fals
     queries of large buckets are cut into blocks that meet each other."""
     at = ["table", "dim", "bucket"]
     many = lambda x, name: x.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name)).where(F.col(name) > 1)
-    large = many(rows, "blocks").join(many(queries, "q_blocks"), at, "full_outer")
+    large = written(many(rows, "blocks").join(many(queries, "q_blocks"), at, "full_outer"), "large-buckets")
+    if large.count() <= MOST_BROADCAST:
+        large = F.broadcast(large)
     one = lambda c: F.coalesce(F.col(c), F.lit(1))
     mine = lambda c: F.pmod(F.xxhash64("vec_id", "table"), one(c)).cast("int")
     others = lambda c: F.explode(F.sequence(F.lit(0), one(c) - 1))
