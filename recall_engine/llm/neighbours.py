@@ -270,6 +270,6 @@ def nearest(rows: DataFrame, queries: DataFrame, *, k: int = 5, how: Hashing = H
     if short.isEmpty():
         return first.select("query_id", "rank", "vec_id", "score")
     table = written(indexed.where(F.col("table") == 0), "one-table")
-    everywhere = short.drop("bucket").join(table.select("dim", "bucket").distinct(), "dim")
+    everywhere = short.drop("bucket").join(written(table.select("dim", "bucket").distinct(), "all-buckets"), "dim")
     more = _compare(table, everywhere.select(*short.columns), k, all_parts=True)
     return _best(first.select("query_id", "vec_id", "score").unionByName(more), k).select("query_id", "rank", "vec_id", "score")
