@@ -177,3 +177,13 @@ def code_chunks(files: DataFrame, most: int = 6000, hard: int = 7500, overlap: i
 
     cut = files.select("project_id", "path", "language", "hash", "content").mapInPandas(run, schema)
     return cut.withColumns({"token_count": token_count(F.col("content")), "id": chunk_id(F.col("file_path"), F.col("start_line"), F.col("content"))})
+
+
+def declares(language: str) -> bool:
+    """Whether declarations of a language are looked for."""
+    return language in DECLARING
+
+
+def fits(text: str, hard: int = 7500) -> bool:
+    """Whether a text is within the limit of one embedding."""
+    return -(-len(text) // 4) <= hard

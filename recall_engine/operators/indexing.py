@@ -104,3 +104,15 @@ def search(index: DataFrame, text: str, embedder: Embedder, k: int = 10, min_sco
     rows = index.withColumns({"embedding": F.col("vector"), "vec_id": F.col("id")})
     found = top_k(rows, embedder([text])[0].tolist(), k, min_score, where)
     return found.select("file_path", "content", "start_line", "end_line", "chunk_type", "name", "language", "score").orderBy(F.desc("score"), "file_path", "start_line")
+
+
+def search_message(found: DataFrame) -> DataFrame:
+    """One row with ``message``: how many chunks a search found, and their mean
+    score in three decimals."""
+    n = F.count(F.lit(1))
+    return found.agg(F.when(n == 0, "No relevant results").otherwise(F.format_string("Found %d result(s), average score %.3f", n, F.avg("score"))).alias("message"))
+
+
+def file_chunks(index: DataFrame, project_id: str, path: str) -> DataFrame:
+    """The chunks of one file in order; the project's partition is read alone."""
+    return index.where((F.col("project_id") == project_id) & (F.col("file_path") == path)).orderBy("start_line", "end_line", "id")

@@ -282,3 +282,31 @@ def document_summary(documents: DataFrame, reasoner: Callable[[str], str], by: s
 
     kind = prompts.schema[by].dataType.simpleString()
     return prompts.mapInPandas(run, f"{by} {kind}, answer string").select(by, json_object(F.col("answer")).alias("summary"))
+
+
+def entry_rank(path: Column) -> Column:
+    """Order in which files tell most of a project: what is called readme, index,
+    main or app comes first."""
+    out = F.lit(9)
+    for place, word in reversed([*enumerate(["readme", "index", "main", "app"], 1)]):
+        out = F.when(F.lower(path).contains(word), place).otherwise(out)
+    return out
+
+
+def generate_documents(wanted: DataFrame, stored: DataFrame, reasoner: Callable[[str], str], force: bool = False) -> DataFrame:
+    """(project_id, type, fingerprint, text, state) of wanted documents
+    (project_id, type, fingerprint, prompt): those whose stored fingerprint
+    differs are 'generated', or 'updated' where another one was stored, by the
+    reasoner, where their rows lie; the others are 'skipped', with a null text."""
+    old = stored.select("project_id", "type", F.col("fingerprint").alias("_old"))
+    each = wanted.join(old, ["project_id", "type"], "left")
+    same = F.coalesce(F.col("_old") == F.col("fingerprint"), F.lit(False)) & F.lit(not force)
+    marked = each.select("project_id", "type", "fingerprint", "prompt", F.when(same, "skipped").when(F.col("_old").isNull(), "generated").otherwise("updated").alias("state"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            text = [None if s == "skipped" else reasoner(p) for p, s in zip(frame["prompt"], frame["state"], strict=True)]
+            yield frame.assign(text=text)[["project_id", "type", "fingerprint", "text", "state"]]
+
+    kind = wanted.schema["project_id"].dataType.simpleString()
+    return marked.mapInPandas(run, f"project_id {kind}, type string, fingerprint string, text string, state string")

@@ -13,11 +13,31 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def top_k(rows: DataFrame, query: Sequence[float], k: int = 10, min_score: float | None = None, where: Column | None = None) -> DataFrame:
-    """The k rows nearest to a vector: filters first, then the k, then the score line."""
+def dot_product(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def distance(a: Column, b: Column, metric: str = "l2") -> Column:
+    """How far two vectors are apart: squared L2, 1 - cosine (1 from a zero
+    vector), or the dot product with its sign turned."""
+    if metric == "l2":
+        return squared_distance(a, b)
+    if metric == "dot":
+        return -dot_product(a, b)
+    if metric == "cosine":
+        size = F.sqrt(dot_product(a, a)) * F.sqrt(dot_product(b, b))
+        return 1 - F.coalesce(F.try_divide(dot_product(a, b), size), F.lit(0.0))
+    raise ValueError(f"no metric {metric}: one of l2, cosine, dot")
+
+
+def top_k(rows: DataFrame, query: Sequence[float], k: int = 10, min_score: float | None = None, where: Column | None = None, metric: str = "l2") -> DataFrame:
+    """The k rows nearest to a vector: filters first, then the k, then the score
+    line.  The score is 1 less the distance (half the squared L2), 0 at least;
+    of dot products it is the product itself."""
     rows = rows if where is None else rows.where(where)
-    d = squared_distance(F.col("embedding"), F.array(*(F.lit(float(x)) for x in query)))
-    found = rows.withColumn("distance", d).orderBy("distance", "vec_id").limit(k or 10).withColumn("score", F.greatest(F.lit(0.0), 1 - F.col("distance") / 2))
+    d = distance(F.col("embedding"), F.array(*(F.lit(float(x)) for x in query)), metric)
+    score = {"l2": F.greatest(F.lit(0.0), 1 - F.col("distance") / 2), "cosine": F.greatest(F.lit(0.0), 1 - F.col("distance")), "dot": -F.col("distance")}[metric]
+    found = rows.withColumn("distance", d).orderBy("distance", "vec_id").limit(k or 10).withColumn("score", score)
     return found if min_score is None else found.where(F.col("score") >= min_score)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recall_engine.functions import text as T
-from recall_engine.operators import chunking, coverage, matching, vectors
+from recall_engine.operators import chunking, coverage, knowledge, matching, vectors
 from recall_engine.plans.registered import count, query
 from recall_engine.streaming.events import session_counts
 
@@ -273,10 +273,7 @@ def merge_ci(p):
 
 @query("pages", sql="SELECT page_id FROM pages ORDER BY CASE WHEN contains(lower(url), 'readme') THEN 1 WHEN contains(lower(url), 'index') THEN 2 WHEN contains(lower(url), 'main') THEN 3 WHEN contains(lower(url), 'app') THEN 4 ELSE 9 END, page_id LIMIT 50")
 def priority_sort(p):
-    rank = F.lit(9)
-    for i, word in reversed([*enumerate(["readme", "index", "main", "app"], 1)]):
-        rank = F.when(F.lower("url").contains(word), i).otherwise(rank)
-    return p.orderBy(rank, "page_id").limit(50).select("page_id")
+    return p.orderBy(knowledge.entry_rank(F.col("url")), "page_id").limit(50).select("page_id")
 
 
 @query("conversations", sql="SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(ceil(length(text) / 4.0)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS t FROM conversations) WHERE t <= 300")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recall_engine.functions import text as T
-from recall_engine.operators import board, coverage, knowledge, matching
+from recall_engine.operators import board, coverage, indexing, knowledge, matching, vectors
 from recall_engine.plans.boards import _DUPLICATES, _checked_proposals, lock_events
-from recall_engine.plans.queries import _COVERAGE, _SIM, file_states
+from recall_engine.plans.queries import _COVERAGE, _RANKED, _SIM, file_states
 from recall_engine.plans.registered import count, query
 from recall_engine.sources import ignore, workspace
 
@@ -236,3 +236,26 @@ def task_ids(e):
 @query("events", sql="SELECT (user_id % 20)::VARCHAR AS project_id, count(*) AS n FROM events GROUP BY 1")
 def board_events(e):
     return lock_events(e).groupBy("project_id").agg(count().alias("n"))
+
+
+_DOT = "list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: e.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE))"
+
+
+@query("embeddings", sql=f"SELECT vec_id, round(c, 6) AS score FROM (SELECT e.vec_id, {_DOT} / sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS c FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) q) ORDER BY c DESC, vec_id LIMIT 7")
+def cosine_topk(e):
+    query = e.where("vec_id = 1").select("embedding").first()[0]
+    return vectors.top_k(e, query, 7, metric="cosine").select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("embeddings", sql=f"SELECT 'Found ' || count(*) || ' result(s), average score ' || printf('%.3f', avg(greatest(0, 1 - d / 2))) AS message FROM (SELECT * FROM ({_RANKED}) ORDER BY d, vec_id LIMIT 10)")
+def search_summary(e):
+    query = e.where("vec_id = 0").select("embedding").first()[0]
+    return indexing.search_message(vectors.top_k(e, query, 10))
+
+
+@query("documents", "labels", sql="SELECT state, count(*) AS n FROM (SELECT CASE WHEN l.doc_id IS NULL THEN 'generated' WHEN l.quality = 1 THEN 'skipped' ELSE 'updated' END AS state FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY state")
+def generated_documents(d, labels):
+    """Documents written anew, brought up to date and left as they are."""
+    wanted = d.select(F.col("doc_id").alias("project_id"), F.lit("brief").alias("type"), F.md5("text").alias("fingerprint"), F.col("lang").alias("prompt"))
+    stored = d.join(labels, "doc_id").select(F.col("doc_id").alias("project_id"), F.lit("brief").alias("type"), F.when(F.col("quality") == 1, F.md5("text")).otherwise("old").alias("fingerprint"))
+    return knowledge.generate_documents(wanted, stored, str.upper).groupBy("state").agg(count().alias("n"))
