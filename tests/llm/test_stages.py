@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from test_queries import DOCUMENTS, jaccard_components, prose, texts
+from test_registered import DOCUMENTS, jaccard_components, prose, texts
 from tokenizers import Tokenizer
 
 import corpus_pipeline
