@@ -49,7 +49,8 @@ def test_scan_and_changes(spark, tmp_path):
     for name, content in (("src/a.py", "x = 1"), ("src/b.bin", "?"), ("src/.hidden.py", "h"), ("node_modules/c.js", "c"), ("d.ts", "d")):
         (tmp_path / name).write_text(content)
     found = scan_files(spark, str(tmp_path))
-    assert sorted(r.path.rsplit("/", 1)[1] for r in found.collect()) == ["a.py", "d.ts"]
+    assert sorted(r.absolute_path.rsplit("/", 1)[1] for r in found.collect()) == ["a.py", "d.ts"]
+    assert sorted(r.path for r in found.collect()) == ["d.ts", "src/a.py"]
     stored = found.select("path", F.when(F.col("path").endswith("a.py"), F.col("hash")).otherwise("old").alias("hash"))
     assert [r.language for r in changed(found, stored).collect()] == ["typescript"]
 
