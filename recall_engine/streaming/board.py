@@ -54,11 +54,11 @@ def append_events(events: DataFrame, path: str, checkpoint: str):
     return events.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
 
 
-def retained(events: DataFrame, days: int = 30, late: str = "1 hour", seq: str = "event_id") -> DataFrame:
+def retained(events: DataFrame, days: int = 30, seq: str = "event_id") -> DataFrame:
     """Each event of a stream once, whatever its source repeats: what is known of
     an event is forgotten ``days`` after the latest one, and events older than
     that are left out."""
-    stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{days} days" if days else late)
+    stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{days} days")
     return stamped.dropDuplicatesWithinWatermark([seq])
 
 
