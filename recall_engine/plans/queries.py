@@ -75,9 +75,8 @@ _COVERAGE = "SELECT d.*, l.doc_id IS NOT NULL AS indexed, coalesce(l.quality, 1)
 
 def file_states(d: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents with their status: labels are the index, out of date where the quality is 0."""
-    index = labels.select("doc_id", F.lit("").alias("hash"), F.lit(1).alias("chunks"), F.col("quality").alias("_quality"))
-    files = d.join(index.select("doc_id", "_quality"), "doc_id", "left")
-    return coverage.file_status(files, index.drop("_quality"), F.col("_quality") == 0, "doc_id")
+    index = labels.select("doc_id", F.when(F.col("quality") == 0, "old").otherwise("new").alias("hash"), F.lit(1).alias("chunks"))
+    return coverage.file_status(d.withColumn("hash", F.lit("new")), index, on="doc_id")
 
 
 @query("documents", "labels", sql=f"SELECT count(*) AS total, count(*) FILTER (indexed AND NOT pending) AS indexed, count(*) FILTER (pending) AS pending, count(*) FILTER (NOT indexed) AS missing, sum(n_chars)::BIGINT AS size, round(100.0 * count(*) FILTER (indexed AND NOT pending) / count(*), 4)::DOUBLE AS percent FROM ({_COVERAGE})")
