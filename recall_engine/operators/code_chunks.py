@@ -4,7 +4,7 @@ Python files are parsed by the language's own parser; files of other languages
 are scanned for lines that begin a declaration, whose extent follows from
 braces or indentation.  Python that doesn't parse is scanned by indentation.
 Files without declarations are one chunk; chunks above the token limit are cut
-by lines, and lines above it by characters.
+by lines, and lines above the hard limit by characters.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recall_engine.functions.text import chunk_id, token_count
-from recall_engine.operators.chunking import pack_lines
+from recall_engine.operators.chunking import pack_lines, within
 
 _WORD = r"([A-Za-z_$][\w$]*)"
 _BEFORE = r"^[ \t]*(?:(?:export|default|public|private|protected|internal|static|final|abstract|async|override|sealed|open|data|pub(?:\([a-z]+\))?|unsafe|inline|virtual)\s+)*"
@@ -154,7 +154,7 @@ def chunks_of(text: str, language: str, most: int, hard: int, overlap: int) -> I
     for c in found or [Chunk(1, len(lines), "file", "", "")]:
         body = lines[c.start_line - 1 : c.end_line]
         limit = most if sum(-(-(len(x) + 1) // 4) for x in body) > most else hard
-        parts = [*pack_lines(body, limit, overlap)]
+        parts = [*within(pack_lines(body, limit, overlap), hard, overlap)]
         for k, (first, last, content) in enumerate(parts, 1):
             name = c.name if len(parts) == 1 else f"{c.name or c.chunk_type}_part{k}"
             yield c.start_line + first - 1, c.start_line + last - 1, content, c.chunk_type, name, c.parent, context

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recall_engine.functions import text as T
 from recall_engine.operators import board, coverage, indexing, knowledge, matching, routing
 from recall_engine.operators.boardlog import Board
-from recall_engine.operators.chunking import pack_lines
+from recall_engine.operators.chunking import pack_lines, within
 from recall_engine.operators.code_chunks import chunks_of, indented_declarations
 from recall_engine.operators.embedding import hashed_words
 from recall_engine.sources import files, ignore, workspace
@@ -96,10 +96,11 @@ def test_python_that_does_not_parse():
 
 
 def test_long_lines_are_cut():
-    lines = ["a" * 10, "b" * 1000, "c"]
-    got = [*pack_lines(lines, 50, 5)]
-    assert "".join(x for a, b, x in got if a == b == 2) == "b" * 1000 and all(len(x) <= 200 for *_, x in got)
-    assert got[0] == (1, 1, "a" * 10) and got[-1] == (3, 3, "c")
+    lines = ["a" * 10, "b" * 1000, "c", "d" * 150, "e" * 150]
+    got = [*within(pack_lines(lines, 50, 5), 60, 5)]
+    assert "".join(x for a, b, x in got if a == b == 2).startswith("b" * 1000) and all(len(x) <= 240 for *_, x in got)
+    assert got[0] == (1, 1, "a" * 10) and got[-1] == (5, 5, "e" * 150) and {k for a, b, _ in got for k in range(a, b + 1)} == {1, 2, 3, 4, 5}
+    assert [*within(iter([(3, 4, "x\ny")]), 60, 5)] == [(3, 4, "x\ny")]
 
 
 def test_coverage(spark):
