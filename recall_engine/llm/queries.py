@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recall_engine.llm import html, near_dedup, neighbours, packing, quality, secrets, substring_dedup, suffix_dedup, token_files, tokenize
+from recall_engine.llm import html, near_dedup, neighbours, packing, quality, ranking, secrets, substring_dedup, suffix_dedup, token_files, tokenize
 from recall_engine.llm.stage import new_path
 
 
@@ -78,6 +78,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.cut_words(substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranking.build_index(table(spark, sf_dir, "documents"))
+    return ranking.search(index, table(spark, sf_dir, "benchmark"), 10, ranking.Scoring(saturation=8, length=90))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -89,5 +94,6 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_ranked_search": op11_ranked_search,
 }
 ORACLES: dict[str, str] = {}

@@ -77,8 +77,8 @@ def public_id(col: str = "id") -> Column:
     return F.when(F.col(col) != NULL_ID, F.col(col))
 
 
-def join_hot(rows: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, total: int) -> DataFrame:
-    """rows joined with right, where ``counts`` (on, n) says how many rows a key
+def join_hot(rows: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with right (``how``: inner or left), where ``counts`` (on, n) says how many rows a key
     has.  Keys of a 2,000th of all rows or more, thus at most 2,000, are salted:
     their rows are dealt over many tasks, and what they meet is copied to each."""
     least = max(LEAST_HOT, -(-total // HOT_SHARE))
@@ -86,4 +86,4 @@ def join_hot(rows: DataFrame, right: DataFrame, on: list[str], counts: DataFrame
     salts = F.coalesce("salts", F.lit(1))
     dealt = rows.join(hot, on, "left").withColumn("salt", F.when(salts == 1, 0).otherwise(F.pmod(F.xxhash64(*rows.columns), salts)).cast("int")).drop("salts")
     copied = right.join(hot, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    return dealt.join(copied, [*on, "salt"]).drop("salt")
+    return dealt.join(copied, [*on, "salt"], how).drop("salt")

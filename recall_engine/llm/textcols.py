@@ -24,6 +24,9 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes outside of [^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+.
+NOT_TERM = np.ones(256, bool)
+NOT_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -43,6 +46,29 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             at = to
 
 
+def stretches(batches: Iterator[pa.RecordBatch], separator: np.ndarray, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array, bool]]:
+    """(rows, their text as binary, whether the last row ends here).  A text above
+    ``limit`` bytes comes alone, in stretches that end at separators; only a
+    longer run without any is not cut."""
+    for batch in slices(batches, text, limit):
+        column = batch.column(batch.schema.get_field_index(text))
+        raw, _ = buffer_of(column)
+        at = 0
+        while len(raw) - at > limit:
+            gaps = np.flatnonzero(separator[raw[at : at + limit]])
+            if len(gaps):
+                to = at + int(gaps[-1]) + 1
+            else:
+                step = next((x for x in range(at + limit, len(raw), limit) if separator[raw[x : x + limit]].any()), None)
+                to = len(raw) if step is None else step + int(np.argmax(separator[raw[step : step + limit]])) + 1
+            if to < len(raw):
+                yield batch, pa.array([raw[at:to].tobytes()], pa.large_binary()), False
+            else:
+                break
+            at = to
+        yield batch, (pa.array([raw[at:].tobytes()], pa.large_binary()) if at else column), True
+
+
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets): row i is bytes[offsets[i]:offsets[i + 1]]; null is empty."""
     if pa.types.is_string(column.type):
@@ -106,17 +132,18 @@ def window_min(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 class Words:
-    """The words [^\\x20\\x09-\\x0D]+ of every row of a text column.
+    """The words [^\\x20\\x09-\\x0D]+ of every row of a text column, or its runs of
+    other bytes than ``separator`` marks.
 
     start, end: byte places in raw; row: each word's row; first: place of each
     row's first word among all words (one more entry than rows).
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, separator: np.ndarray = _SEPARATOR):
         self.raw, self.offsets = buffer_of(column)
         if lower:
             self.raw = np.where((self.raw >= 65) & (self.raw <= 90), self.raw + np.uint8(32), self.raw)
-        inside = ~_SEPARATOR[self.raw]
+        inside = ~separator[self.raw]
         begin, over = inside.copy(), inside.copy()
         begin[1:] &= ~inside[:-1]
         over[:-1] &= ~inside[1:]
