@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recall_engine.llm import html, near_dedup, neighbours, packing, quality, ranking, secrets, substring_dedup, suffix_dedup, token_files, tokenize
+from recall_engine.llm import html, near_dedup, neighbours, oracles, packing, quality, ranking, resampling, secrets, substring_dedup, suffix_dedup, token_files, tokenize, warc
 from recall_engine.llm.stage import new_path
 
 
@@ -83,6 +83,17 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.search(index, table(spark, sf_dir, "benchmark"), 10, ranking.Scoring(saturation=8, length=90))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20, longest=1, buckets=10_000, seed="2024")
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_warc(table(spark, sf_dir, "pages"), new_path(spark, "archive"), least_bytes=0)
+    records = warc.read_warc(manifest).where(F.col("record_type").isin("response", "revisit"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -95,5 +106,11 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_ranked_search": op11_ranked_search,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_warc": op13_warc,
+}
+ORACLES: dict[str, str] = {
+    "op11_ranked_search": oracles.OP11,
+    "op12_importance_resampling": oracles.OP12,
+    "op13_warc": oracles.OP13,
 }
-ORACLES: dict[str, str] = {}
