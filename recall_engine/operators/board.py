@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recall_engine.operators.folds import ordered_fold
-from recall_engine.operators.matching import fuzzy_pairs
+from recall_engine.operators.matching import last_alike
 
 
 def active_agents(log: DataFrame) -> DataFrame:
@@ -95,10 +95,8 @@ def first_duplicate(proposals: DataFrame, tasks: DataFrame, title: float = 0.85,
     """Proposals (project_id, proposal_id, title, description) with
     ``duplicate_of``: the latest task (by created_at, then id) of that project
     whose title or description is nearly the same; null if there is none."""
-    old = tasks.select("project_id", "task_id", "created_at", "title", "description")
-    pairs = fuzzy_pairs(proposals.select("project_id", "proposal_id", "title", "description"), old, ["project_id"], ["title", "description"], [title, description])
-    found = pairs.groupBy("project_id", "proposal_id").agg(F.max_by("task_id", F.struct("created_at", "task_id")).alias("duplicate_of"))
-    return proposals.join(found, ["project_id", "proposal_id"], "left")
+    found = last_alike(proposals, tasks, ["project_id"], ["title", "description"], [title, description], F.struct("created_at", "task_id"))
+    return found.select(*proposals.columns, F.col("last.task_id").alias("duplicate_of"))
 
 
 def delegated(proposals: DataFrame, tasks: DataFrame, title: float = 0.85) -> DataFrame:
@@ -106,11 +104,9 @@ def delegated(proposals: DataFrame, tasks: DataFrame, title: float = 0.85) -> Da
     proposals (project_id, proposal_id, title, description, context): the latest
     task of nearly the same title stands for a proposal, with its status;
     others become pending tasks whose description holds the context."""
-    old = tasks.select("project_id", "task_id", "created_at", "status", "title")
-    pairs = fuzzy_pairs(proposals.select("project_id", "proposal_id", "title"), old, ["project_id"], ["title"], [title])
-    found = pairs.groupBy("project_id", "proposal_id").agg(F.max_by(F.struct("task_id", "status"), F.struct("created_at", "task_id")).alias("old"))
+    found = last_alike(proposals, tasks, ["project_id"], ["title"], [title], F.struct("created_at", "task_id", "status")).withColumnRenamed("last", "old")
     text = F.concat(F.coalesce("description", F.lit("")), F.lit("\n\nContext:\n"), F.coalesce("context", F.lit("")))
-    return proposals.join(found, ["project_id", "proposal_id"], "left").select(
+    return found.select(
         "project_id", "proposal_id", F.col("old.task_id").alias("task_id"), F.col("old").isNotNull().alias("is_duplicate"), F.coalesce("old.status", F.lit("PENDING")).alias("status"), F.when(F.col("old").isNull(), text).alias("description")
     )
 

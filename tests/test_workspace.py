@@ -1,6 +1,7 @@
 """Scanning, matching, the board log, routing and documents."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,33 @@ PAIRS = [
 ]
 
 
+@pytest.mark.parametrize("least", [0, 0.3, 0.75, 0.85, 0.95, 1, 1.2])
+def test_similar_texts_equal_all_pairs(spark, least):
+    """Random texts with random edits, of every length around the bands' ends."""
+    r = random.Random(5)
+    texts = ["", "a"] + ["".join(r.choices("abc é", k=r.randrange(1, 90))) for _ in range(40)]
+    for _ in range(160):
+        t = list(r.choice(texts))
+        for _ in range(r.randrange(1, 9)):
+            at = r.randrange(len(t) + 1)
+            t[at : at + r.randrange(2)] = r.choice(["", "x", "ab"])
+        texts.append("".join(t))
+    texts = sorted({" ".join(t.split()) for t in texts})
+    left = spark.createDataFrame([("p", t) for t in texts[::2]] + [("q", "a"), (None, "a")], "k string, a string")
+    right = spark.createDataFrame([("p", t) for t in texts[1::2]] + [("q", "a"), (None, "a")], "k string, b string")
+    got = sorted(tuple(x) for x in matching.similar_texts(left, right, ["k"], least).collect())
+    want = left.join(right, "k").where(T.text_similarity(F.col("a"), F.col("b")) >= least)
+    assert got == sorted(tuple(x) for x in want.collect())
+
+
+def test_few_pairs_are_verified(spark):
+    """Of a key's pairs of unlike texts of one length few share a segment."""
+    r = random.Random(1)
+    texts = {" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(6)) for _ in range(1500)}
+    rows = spark.createDataFrame([("p", t) for t in texts], "k string, a string")
+    assert matching.candidate_texts(rows, rows.withColumnRenamed("a", "b"), ["k"], 0.85).count() < 0.02 * len(texts) ** 2
+
+
 @pytest.mark.parametrize("least", [0.7, 0.75, 0.85, 0.95])
 def test_fuzzy_pairs_equal_all_pairs(spark, least):
     words = sorted({x for a, b, _ in PAIRS for x in (a, b)}) + ["a", "ab", "abc", "x" * 40, "x" * 47, "x" * 34 + "y" * 6]
