@@ -1,8 +1,7 @@
 """Source files to chunks by their declarations.
 
-Python files are parsed by the language's own parser; files of other languages
-are scanned for lines that begin a declaration, whose extent follows from
-braces or indentation.  Python that doesn't parse is scanned by indentation.
+Python files are parsed by the language's own parser, files of eleven other
+languages by a lexer in one pass (declarations.py).  Python that doesn't parse is scanned by indentation.
 Files without declarations are one chunk; chunks above the token limit are cut
 by lines, and lines above the hard limit by characters.
 """
@@ -12,7 +11,6 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,31 +18,10 @@ from pyspark.sql import functions as F
 
 from recall_engine.functions.text import chunk_id, token_count
 from recall_engine.operators.chunking import pack_lines, within
+from recall_engine.operators.declarations import LANGUAGES, Chunk, declarations
 
-_WORD = r"([A-Za-z_$][\w$]*)"
-_BEFORE = r"^[ \t]*(?:(?:export|default|public|private|protected|internal|static|final|abstract|async|override|sealed|open|data|pub(?:\([a-z]+\))?|unsafe|inline|virtual)\s+)*"
-#: (chunk type, pattern whose group 1 is the name), for languages with braces.
-_DECLARATIONS = [
-    ("class", re.compile(_BEFORE + r"(?:class|struct|object)\s+" + _WORD)),
-    ("interface", re.compile(_BEFORE + r"(?:interface|trait|protocol)\s+" + _WORD)),
-    ("module", re.compile(_BEFORE + r"(?:module|mod|namespace|impl)\s+" + _WORD)),
-    ("function", re.compile(_BEFORE + r"(?:function\*?|func|fn|def|fun)\s+(?:\([^)]*\)\s*)?" + _WORD)),
-    ("function", re.compile(_BEFORE + r"(?:const|let|var)\s+" + _WORD + r"\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=]+)?=>")),
-]
-_METHOD = re.compile(r"^[ \t]+(?:(?:public|private|protected|static|async|override|get|set|final)\s+)*" + _WORD + r"\s*\([^;{]*\)\s*(?::\s*[^{;]+)?\{")
-_NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "function", "else", "do", "with", "try"}
 _CONTEXT = re.compile(r"^\s*(?:import\b|from\b|use\b|using\b|package\b|#include\b|require\b|//|#|/\*|\*)")
-# Languages whose declarations are looked for.
-DECLARING = ["typescript", "javascript", "python", "java", "kotlin", "scala", "go", "rust", "ruby", "php", "swift", "csharp"]
-
-
-@dataclass
-class Chunk:
-    start_line: int
-    end_line: int
-    chunk_type: str
-    name: str
-    parent: str
+DECLARING = {"python", *LANGUAGES}
 
 
 def python_declarations(text: str) -> list[Chunk]:
@@ -92,50 +69,8 @@ def indented_declarations(text: str) -> list[Chunk]:
     return found
 
 
-def _extent(lines: list[str], at: int) -> int:
-    """Last line (0-based) of the declaration that begins at a line: where its
-    braces close, or before the next line that is indented no deeper."""
-    depth, opened = 0, False
-    for i in range(at, len(lines)):
-        bare = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`|//.*", "", lines[i])
-        for c in bare:
-            depth += (c == "{") - (c == "}")
-            opened |= c == "{"
-        if opened and depth <= 0:
-            return i
-        if not opened and bare.rstrip().endswith(";"):
-            return i
-    if opened:
-        return len(lines) - 1
-    indent = len(lines[at]) - len(lines[at].lstrip())
-    last = at
-    for i in range(at + 1, len(lines)):
-        if lines[i].strip():
-            if len(lines[i]) - len(lines[i].lstrip()) <= indent:
-                return i if lines[i].strip() in ("end", "}") else last
-            last = i
-    return last
-
-
-def braced_declarations(text: str) -> list[Chunk]:
-    lines, found = text.split("\n"), []
-    owners: list[tuple[int, str]] = []
-    for i, line in enumerate(lines):
-        while owners and owners[-1][0] < i:
-            owners.pop()
-        kind, name = next(((k, m[1]) for k, p in _DECLARATIONS if (m := p.match(line))), ("", ""))
-        parent = owners[-1][1] if owners else ""
-        if not kind and parent and (m := _METHOD.match(line)) and m[1] not in _NOT_NAMES:
-            kind, name = "method", m[1]
-        if not kind:
-            continue
-        last = _extent(lines, i)
-        if kind == "function" and parent:
-            kind = "method"
-        found.append(Chunk(i + 1, last + 1, kind, name, parent))
-        if kind in ("class", "interface", "module"):
-            owners.append((last, name))
-    return found
+def braced_declarations(text: str, language: str = "typescript") -> list[Chunk]:
+    return declarations(text, language)
 
 
 def chunks_of(text: str, language: str, most: int, hard: int, overlap: int) -> Iterator[tuple[int, int, str, str, str, str, str]]:
@@ -144,7 +79,7 @@ def chunks_of(text: str, language: str, most: int, hard: int, overlap: int) -> I
     found: list[Chunk] = []
     if language in DECLARING:
         try:
-            found = python_declarations(text) if language == "python" else braced_declarations(text)
+            found = python_declarations(text) if language == "python" else declarations(text, language)
         except (SyntaxError, ValueError, RecursionError):
             found = indented_declarations(text)
     context = ""

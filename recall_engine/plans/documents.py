@@ -118,6 +118,19 @@ def page_chunks(p):
     return C.code_chunks(page_files(p), 500, 625, 20).select("project_id", "file_path", "start_line", "end_line", "chunk_type", "name", "token_count", "id")
 
 
+@query("documents", sql="SELECT doc_id, len(string_split(text, chr(10))) AS methods, len(string_split(text, chr(10))) + 2 AS last_line, 'm' || (len(string_split(text, chr(10))) - 1) AS last FROM documents")
+def declared_methods(d):
+    """Documents as classes with a method a line, the line in a comment and its
+    beginning in a string: brackets and words in either declare nothing."""
+    quoted = lambda x: F.to_json(F.struct(F.substring(x, 1, 200).alias("x")))
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(F.lit("  m"), i.cast("string"), F.lit("() { f("), quoted(x), F.lit("); } // "), x))
+    text = F.concat(F.lit("class D {\n"), F.array_join(lines, "\n"), F.lit("\n}"))
+    files = d.select(F.lit("p").alias("project_id"), F.col("doc_id").cast("string").alias("path"), F.lit("typescript").alias("language"), F.lit("").alias("hash"), text.alias("content"))
+    chunks = C.code_chunks(files, 1 << 30, 1 << 30, 0)
+    last = F.max_by("name", F.when(F.col("chunk_type") == "method", F.col("start_line")))
+    return chunks.groupBy(F.col("file_path").cast("long").alias("doc_id")).agg(F.count_if(F.col("chunk_type") == "method").alias("methods"), F.max("end_line").cast("long").alias("last_line"), last.alias("last"))
+
+
 @query("documents", "benchmark")
 def text_search(d, b):
     """The ten documents nearest to a text by hashed words."""
