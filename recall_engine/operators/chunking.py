@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recall_engine.functions.text import chunk_id, token_count
-from recall_engine.operators.folds import ordered_fold
+from recall_engine.operators.ranges import greedy_starts
 
 
 def pack_lines(lines: list[str], most: int, overlap: int, strict: bool = False) -> Iterator[tuple[int, int, str]]:
@@ -65,20 +65,13 @@ def line_chunks(files: DataFrame, most: int = 6000, overlap: int = 200, id_col:
     return cut.withColumns({"token_count": token_count(F.col("content")), "id": chunk_id(F.col("file_path"), F.col("start_line"), F.col("content"))})
 
 
-def budget_batches(rows: DataFrame, most: int, by: str, order: str, cost: str) -> DataFrame:
-    """Adds ``batch`` (from 0 in each ``by``): rows in order join while their cost
-    stays within ``most``; a costlier row is a batch of its own."""
-
-    def step(state, row):
-        size, batch = state
-        c = int(getattr(row, cost))
-        if size and size + c > most:
-            size, batch = 0, batch + 1
-        return (size + c, batch), (batch,)
-
-    return ordered_fold(rows, [by], [order], "batch int", lambda: (0, 0), step)
+def greedy_batches(rows: DataFrame, most: int, by: str, order: str, cost: str) -> DataFrame:
+    """(by, order, batch), batch from 0 in each ``by``: rows in order join while
+    their cost stays within ``most``; a costlier row is a batch of its own."""
+    return greedy_starts(rows, most, by, order, cost)
 
 
-def greedy_batches(rows: DataFrame, most: int, by: str, order: str, cost: str) -> DataFrame:
-    """(by, order, batch) of budget_batches."""
-    return budget_batches(rows.select(by, order, F.col(cost).cast("long").alias(cost)), most, by, order, cost).select(by, order, "batch")
+def budget_batches(rows: DataFrame, most: int, by: str, order: str, cost: str) -> DataFrame:
+    """Adds ``batch``, as greedy_batches says; rows meet it by (by, order), which
+    is theirs alone, so other columns don't go through the batching."""
+    return rows.join(greedy_batches(rows, most, by, order, cost), [by, order])

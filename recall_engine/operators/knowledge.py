@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import math
 import re
-import tempfile
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from recall_engine.functions.text import token_count
 from recall_engine.operators.chunking import budget_batches
+from recall_engine.operators.ranges import settled
 
 # Marks of blockers by severity and of decisions by category.
 SEVERITY_MARKS = {"high": "🔴", "medium": "🟡", "low": "🟢"}
@@ -156,17 +156,6 @@ class Extract:
         return " ".join(kept)
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the session's folder, so that rounds don't repeat
-    each other's plans.  Only where all runs in this process is a folder made."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="recall-checkpoints-"))
-    return df.checkpoint()
-
-
 def summarise_to_budget(chunks: DataFrame, summarise: Summarise, *, threshold: int = 100_000, most: int = 80_000, depth: int = 3, by: str = "project_id") -> DataFrame:
     """(by, seq, path, content): chunks whose tokens fit a prompt.
 
@@ -197,7 +186,7 @@ def summarise_to_budget(chunks: DataFrame, summarise: Summarise, *, threshold: i
         parts = F.array_sort(F.collect_list(F.struct("seq", "content")))
         joined = short.groupBy(by, "batch").agg(F.array_join(F.transform(parts, lambda x: x["content"]), "\n").alias("content"))
         rows = rows.join(over, by, "left_anti").unionByName(joined.select(by, F.col("batch").cast("long").alias("seq"), F.lit("summary").alias("path"), "content"))
-        rows = _settled(rows)
+        rows = settled(rows)
     over, last = large(rows), Extract(500)
     cut = rows.join(over, by).select(*rows.columns)
     return rows.join(over, by, "left_anti").unionByName(cut.mapInPandas(each(last.batch if depth else last), cut.schema))
