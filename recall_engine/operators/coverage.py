@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recall_engine.operators.ranges import running
+
 PENDING, INDEXED, MISSING = "pending_reindex", "indexed", "not_indexed"
 
 
@@ -55,14 +57,15 @@ def tree(status: DataFrame, path: str = "path", size: str | None = None) -> Data
 
 def listed(status: DataFrame, path: str = "path") -> DataFrame:
     """(folder, place, name, is_folder): what each folder holds directly, folders
-    first, then by name whatever its case."""
+    first, then by name whatever its case.  A folder's names may lie in many
+    tasks: places are distributed ranks."""
     whole = F.col(path)
     steps = F.concat(folders_above(whole), F.array(whole))
     each = status.select(F.posexplode(steps).alias("depth", "step"), F.size(steps).alias("n")).select(
         F.when(F.col("depth") > 0, F.regexp_replace("step", "/[^/]*$", "")).otherwise("").alias("folder"), F.substring_index("step", "/", -1).alias("name"), (F.col("depth") + 1 < F.col("n")).alias("is_folder")
     )
-    items = F.array_sort(F.collect_set(F.struct((~F.col("is_folder")).alias("file"), F.lower("name").alias("low"), "name")))
-    return each.groupBy("folder").agg(items.alias("items")).select("folder", F.posexplode("items").alias("place", "x")).select("folder", "place", "x.name", (~F.col("x.file")).alias("is_folder"))
+    items = each.distinct().withColumns({"_file": ~F.col("is_folder"), "_low": F.lower("name")})
+    return running(items, ["folder"], ["_file", "_low", "name"]).select("folder", F.col("n").cast("int").alias("place"), "name", "is_folder")
 
 
 def gaps(counts: DataFrame, more_than: int = 0) -> DataFrame:

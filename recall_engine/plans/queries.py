@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recall_engine.functions import text as T
-from recall_engine.operators import chunking, coverage, knowledge, matching, vectors
+from recall_engine.operators import chunking, coverage, digests, knowledge, matching, vectors
 from recall_engine.plans.registered import count, query
 from recall_engine.streaming.events import session_counts
 
@@ -127,6 +127,25 @@ def project_fingerprint(d):
     return d.select("source", F.concat_ws(":", "doc_id", F.md5("text")).alias("x")).groupBy("source").agg(F.md5(F.array_join(F.sort_array(F.collect_list("x")), "|")).alias("fingerprint"))
 
 
+_LANES = "count(*) || ':' || sum(('0x' || substr(md5(x), 1, 16))::UBIGINT) || ':' || sum(('0x' || substr(md5(x), 17, 16))::UBIGINT)"
+
+
+@query("documents", sql=f"SELECT source, {_LANES} AS digest FROM (SELECT source, doc_id || ':' || md5(text) AS x FROM documents) GROUP BY source")
+def project_digest(d):
+    return digests.set_digest(d, ["source"], F.concat_ws(":", "doc_id", F.md5("text"))).select("source", digests.digest_text().alias("digest"))
+
+
+@query("documents", "labels", sql=f"SELECT source, {_LANES} AS digest FROM (SELECT source, doc_id || ':' || md5(CASE WHEN quality = 0 THEN text || '!' ELSE text END) AS x FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY source")
+def project_digest_update(d, labels):
+    """The digest after the documents of quality 0 changed, from the one before
+    and the changed documents alone."""
+    item = lambda text: F.concat_ws(":", "doc_id", F.md5(text))
+    changed = d.join(labels.where("quality = 0").select("doc_id"), "doc_id")
+    before, went = digests.set_digest(d, ["source"], item(F.col("text"))), digests.set_digest(changed, ["source"], item(F.col("text")))
+    came = digests.set_digest(changed, ["source"], item(F.concat("text", F.lit("!"))))
+    return digests.updated_digest(before, ["source"], came, went).select("source", digests.digest_text().alias("digest"))
+
+
 _SIM = "1 - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b}))"
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from recall_engine.operators import ranges
+from recall_engine.operators import coverage, digests, ranges
 from recall_engine.operators.chunking import budget_batches, greedy_batches
 
 
@@ -69,3 +69,28 @@ def test_empty_table_and_other_columns(spark):
     assert greedy_batches(none, 5, "k", "o", "c").count() == 0
     some = spark.createDataFrame([("a", 1, 3, "x"), ("a", 2, 3, "y")], "k string, o long, c long, part string")
     assert sorted((r.o, r.part, r.batch) for r in budget_batches(some, 5, "k", "o", "c").collect()) == [(1, "x", 0), (2, "y", 1)]
+
+
+def test_places_in_a_folder_of_many_names(spark):
+    """Names of one folder lie in many parts, and places are gapless."""
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        names = spark.range(200_000).select(F.format_string("a/%s%d", F.when(F.col("id") % 2 == 0, "x").otherwise("Y"), "id").alias("path"))
+        got = coverage.listed(names).where("folder = 'a'").toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = got.sort_values("place")
+    assert got["place"].tolist() == list(range(200_000))
+    assert got["name"].tolist() == sorted(got["name"], key=lambda x: (x.lower(), x))
+
+
+def test_digests_add_and_take(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", "z"), ("c", None)], "k string, i string")
+    one = lambda df: digests.set_digest(df, ["k"], F.col("i"))
+    values = lambda df: {r.k: (r.n, r.low, r.high) for r in df.collect()}
+    whole = values(one(rows))
+    assert whole["a"][0] == 3 and "c" not in whole and whole["a"] != values(one(rows.distinct()))["a"]
+    came, went = one(rows.where("i = 'y'")), one(rows.where("i = 'z'"))
+    after = digests.updated_digest(one(rows.where("coalesce(i, '') <> 'y'")), ["k"], came, went)
+    assert values(after) == {"a": whole["a"]} and after.columns == ["k", "n", "low", "high"]
+    assert [r.k for r in digests.changed_keys(one(rows), after, ["k"]).collect()] == ["b"]
