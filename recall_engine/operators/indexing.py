@@ -68,8 +68,9 @@ def clear_index(spark: SparkSession, path: str, project_id: str | None = None) -
 def update_index(spark: SparkSession, files: DataFrame, path: str, embedder: Embedder, now: Column, staging: str, force: bool = False, whole: bool = False) -> DataFrame:
     """Brings an index up to date and returns (project_id, files, chunks) of the run.
 
-    Rows go to ``staging`` first: the projects' partitions are only replaced
-    once everything is computed.  An index that isn't there yet is created.
+    Rows go to ``staging`` first, which is deleted at the end: the projects'
+    partitions are only replaced once everything is computed.  That rewrites
+    whole projects; operators.store writes what changed.  An index that isn't there yet is created.
     whole: ``files`` are all files of their projects, so others leave the index.
     """
     if not index_exists(spark, path):
@@ -87,7 +88,10 @@ def update_index(spark: SparkSession, files: DataFrame, path: str, embedder: Emb
         kept = kept.join(files.select("project_id", F.col("path").alias("file_path")).distinct(), FILE_KEY, "left_semi")
     replace_files(kept, fresh.select(*index.columns)).write.parquet(f"{staging}/all")
     write_index(spark.read.parquet(f"{staging}/all"), path)
-    return fresh.groupBy("project_id").agg(F.count_distinct("file_path").alias("files"), F.count(F.lit(1)).alias("chunks"))
+    counts = fresh.groupBy("project_id").agg(F.count_distinct("file_path").alias("files"), F.count(F.lit(1)).alias("chunks"))
+    rows = counts.collect()  # one a project of the run
+    clear_index(spark, staging)
+    return spark.createDataFrame(rows, counts.schema)
 
 
 def search(index: DataFrame, text: str, embedder: Embedder, k: int = 10, min_score: float = 0.4, *, file: str | None = None, language: str | None = None, chunk_type: str | None = None) -> DataFrame:

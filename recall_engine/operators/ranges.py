@@ -10,12 +10,13 @@ broadcast whatever the number of rows.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recall_engine.operators.folds import ordered_fold
@@ -33,9 +34,15 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
-    """Equal in these columns; nulls are equal."""
-    return reduce(Column.__and__, (a[c].eqNullSafe(b[c]) for c in names))
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; of our own only where
+    none is set and all runs in this process."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="recall-shared-")
+    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def running(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], cost: str | None = None) -> DataFrame:

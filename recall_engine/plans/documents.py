@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from recall_engine.functions import text as T
 from recall_engine.operators import code_chunks as C
+from recall_engine.operators import store
+from recall_engine.operators.ranges import shared_folder
 from recall_engine.operators import coverage, embedding, indexing, knowledge
 from recall_engine.plans.queries import _COVERAGE, file_states
 from recall_engine.plans.registered import count, query
@@ -131,6 +133,20 @@ def declared_methods(d):
     return chunks.groupBy(F.col("file_path").cast("long").alias("doc_id")).agg(F.count_if(F.col("chunk_type") == "method").alias("methods"), F.max("end_line").cast("long").alias("last_line"), last.alias("last"))
 
 
+@query("documents", "labels", sql="SELECT doc_id, md5(CASE WHEN quality = 0 THEN text || '!' ELSE text END) AS hash FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) = 0")
+def stored_updates(d, labels):
+    """Files of a store after two updates: in the second the documents of quality
+    0 changed and the toxic ones left."""
+    spark, path = d.sparkSession, shared_folder(d.sparkSession, "store")
+    files = lambda rows, text: rows.select(F.col("source").alias("project_id"), F.col("doc_id").cast("string").alias("path"), F.lit("text").alias("language"), F.md5(text).alias("hash"), text.alias("content"))
+    embed, now = embedding.hashed_words(8), F.lit("2024-01-01").cast("timestamp")
+    store.update_store(spark, files(d, F.col("text")), path, embed, now)
+    known = d.join(labels, "doc_id")
+    gone = files(known.where("toxic = 1"), F.col("text")).select("project_id", "path")
+    store.update_store(spark, files(known.where("quality = 0 AND toxic = 0"), F.concat("text", F.lit("!"))), path, embed, now, removed=gone)
+    return store.read_store(spark, path).select(F.col("file_path").cast("long").alias("doc_id"), F.col("file_hash").alias("hash")).distinct()
+
+
 @query("documents", "benchmark")
 def text_search(d, b):
     """The ten documents nearest to a text by hashed words."""

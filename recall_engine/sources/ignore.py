@@ -103,12 +103,12 @@ def load_rules(spark: SparkSession, root: str) -> list[Rule]:
     return rules
 
 
-def ignored(path: Column, rules: list[Rule]) -> Column:
-    """Whether a path (relative, with slashes) or a folder that holds it is
-    ignored.  Of the rules that match, the last one decides; nothing within an
+def ignored(path: Column, rules: list[Rule], folder: bool = False) -> Column:
+    """Whether a path (relative, with slashes; a folder's with ``folder``) or a
+    folder that holds it is ignored.  Of the rules that match, the last one decides; nothing within an
     ignored folder comes back."""
     parts = F.split(path, "/")
-    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, 1, k), "/").alias("path"), (k < F.size(parts)).alias("folder")))
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, 1, k), "/").alias("path"), (F.lit(folder) | (k < F.size(parts))).alias("folder")))
 
     def verdict(head: Column) -> Column:
         out = F.lit(False)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from recall_engine.operators import store
 from recall_engine.operators.board import lock_step
 from recall_engine.operators.embedding import Embedder
 from recall_engine.operators.indexing import update_index
@@ -78,3 +79,22 @@ def stale_stream(heartbeats: DataFrame, minutes: int = 30, late: str = "10 minut
 
     stamped = heartbeats.select(F.col("agent_id").cast("string").alias("agent_id"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
     return stamped.withColumn("ms", F.unix_millis("ts")).groupBy("agent_id").applyInPandasWithState(run, "agent_id string, last_seen timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def follow_into_store(files: DataFrame, path: str, embedder: Embedder, checkpoint: str, least_dead: float = 0.3):
+    """A stream of files (project_id, path, language, hash, content, deleted, and
+    mtime) brought into a store (operators.store) batch by batch.
+
+    The latest version of a file in a batch counts; one that is ``deleted``
+    leaves.  A batch run again finds its files unchanged.  A batch writes its own
+    files, and the store is compacted once ``least_dead`` of it doesn't count."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        latest = F.struct(*[c for c in ("mtime", "hash") if c in batch.columns])
+        last = batch.groupBy("project_id", "path").agg(F.max_by(F.struct(*batch.columns), latest).alias("x")).select("x.*")
+        gone = F.coalesce("deleted", F.lit(False))
+        spark = batch.sparkSession
+        store.update_store(spark, last.where(~gone).drop("deleted"), path, embedder, F.current_timestamp(), removed=last.where(gone))
+        store.compact_store(spark, path, least_dead)
+
+    return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)

@@ -256,3 +256,22 @@ def test_cleanup_and_cards(spark):
     locks = spark.createDataFrame([("p", "x", "a"), ("p", "y", "b"), ("p", "z", "gone")], "project_id string, resource string, holder string")
     got = board.cleanup_events(locks, agents, F.expr("timestamp'2024-01-01 10:20:00'"))
     assert {r.resource for r in got.collect()} == {"y", "z"} and {r.action for r in got.collect()} == {"release"}
+
+
+def test_scan_reads_only_what_it_keeps(spark, tmp_path):
+    """Files that would fill the memory lie in ignored folders or above the limit."""
+    for name in ("node_modules/a/huge.ts", "src/big.ts", ".hid/huge.ts", "gen/huge.ts"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        with open(tmp_path / name, "wb") as f:
+            f.truncate(1 << 40)
+    for name in ("src/a.ts", "src/_b.ts", "src/.c.ts", ".hid/d.ts", "src/deep/er/e.py", "empty.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if name == "empty.md" else "x")
+    (tmp_path / ".gitignore").write_text("gen/\n")
+    scan = lambda **kw: sorted(r.path for r in files.scan_files(spark, str(tmp_path), include_empty=True, **kw).collect())
+    assert scan() == ["empty.md", "src/_b.ts", "src/a.ts", "src/deep/er/e.py"]
+    assert scan(include_hidden=True) == [".gitignore", ".hid/d.ts", "empty.md", "src/.c.ts", "src/_b.ts", "src/a.ts", "src/deep/er/e.py"]
+    listed = {r.path for r in files.list_files(spark, str(tmp_path), ignore.load_rules(spark, str(tmp_path)), True).collect()}
+    assert not any(x.startswith(("node_modules", "gen/")) for x in listed)
+    (tmp_path / "none").mkdir()
+    assert files.scan_files(spark, str(tmp_path / "none")).count() == 0
