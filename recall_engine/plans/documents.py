@@ -5,14 +5,15 @@ Orders stand for a customer's tasks: status F is done, O in progress, P pending.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recall_engine.functions import text as T
 from recall_engine.operators import code_chunks as C
-from recall_engine.operators import store
+from recall_engine.operators import coverage, embedding, indexing, knowledge, retention, store
 from recall_engine.operators.ranges import shared_folder
-from recall_engine.operators import coverage, embedding, indexing, knowledge
 from recall_engine.plans.queries import _COVERAGE, file_states
 from recall_engine.plans.registered import count, query
 
@@ -147,6 +148,17 @@ def stored_updates(d, labels):
     return store.read_store(spark, path).select(F.col("file_path").cast("long").alias("doc_id"), F.col("file_hash").alias("hash")).distinct()
 
 
+@query("events", sql="SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY ALL")
+def kept_days(e):
+    """Counts of a log in day folders after the days before one were deleted and
+    the others merged."""
+    spark, path = e.sparkSession, shared_folder(e.sparkSession, "days")
+    retention.append_days(e, path)
+    retention.forget_days(spark, path, datetime.date(2024, 1, 15))
+    retention.merge_days(spark, path, 1)
+    return retention.read_days(spark, path).groupBy("day", "event_type").agg(count().alias("n"))
+
+
 @query("documents", "benchmark")
 def text_search(d, b):
     """The ten documents nearest to a text by hashed words."""
