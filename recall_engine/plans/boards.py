@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from recall_engine.operators import board, registry, vectors
 from recall_engine.plans.queries import _RANKED, _SIM, _first_vector
 from recall_engine.plans.registered import count, query
+from recall_engine.streaming import claims
 
 
 def lock_events(e: DataFrame) -> DataFrame:
@@ -144,3 +145,23 @@ def search_preview(e, d):
 @query("documents", "labels", sql="SELECT count(*) AS n FROM documents d JOIN labels l USING (doc_id) WHERE d.n_chars % 2 <> l.quality")
 def pending_changes(d, labels):
     return d.join(labels, "doc_id").where(F.col("n_chars") % 2 != F.col("quality")).agg(count().alias("n"))
+
+
+_CLAIMS = """
+WITH RECURSIVE r AS (SELECT user_id, event_id, 'agent' || hour(ts) % 4 AS agent, CASE event_type WHEN 'view' THEN 'write' WHEN 'error' THEN 'release' ELSE 'claim' END AS action, event_id % 3 + 1 AS shown, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+s AS (SELECT DISTINCT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, FALSE AS granted, NULL::VARCHAR AS holder, 0::BIGINT AS token, 0::BIGINT AS until, 0::BIGINT AS clock FROM r
+UNION ALL
+SELECT user_id, k, event_id, taken OR shows, CASE WHEN taken THEN agent WHEN shows AND action = 'release' THEN NULL ELSE h END, CASE WHEN taken AND h IS NULL THEN token + 1 ELSE token END, CASE WHEN taken THEN c + 172800000 ELSE until END, c
+FROM (SELECT *, action = 'claim' AND (h IS NULL OR h = agent) AS taken, coalesce(action <> 'claim' AND h = agent AND shown = token, FALSE) AS shows
+      FROM (SELECT s.user_id, r.k, r.event_id, r.agent, r.action, r.shown, s.token, s.until, greatest(s.clock, r.ms) AS c, CASE WHEN greatest(s.clock, r.ms) < s.until THEN s.holder END AS h FROM s JOIN r ON r.user_id = s.user_id AND r.k = s.k + 1)))
+SELECT event_id, granted, holder, CASE WHEN holder IS NOT NULL THEN token END AS grant_token FROM s WHERE k > 0"""
+
+
+@query("events", sql=_CLAIMS)
+def claim_tokens(e):
+    """Users as resources, events as requests of the agent of their hour: views
+    write and errors release with a token that may be stale, the others claim
+    for two days."""
+    action = F.when(F.col("event_type") == "view", "write").when(F.col("event_type") == "error", "release").otherwise("claim")
+    log = e.select(F.lit("p").alias("project_id"), F.col("user_id").cast("string").alias("resource"), F.concat(F.lit("agent"), (F.hour("ts") % 4).cast("string")).alias("agent_id"), action.alias("action"), (F.col("event_id") % 3 + 1).alias("token"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+    return claims.claim_log(log, 2 * 24 * 60).select(F.col("seq").alias("event_id"), "granted", "holder", "grant_token")
