@@ -23,9 +23,11 @@ class Capacity:
 
     tokens; documents (pieces); attention: the cost of attention that is masked
     to documents and computed in tiles, the square of ceil(length / tile) summed
-    over the pieces.  One full piece costs (tokens / tile) ** 2, so the default
-    leaves room for 16 small ones beside it: small pieces are dealt over the
-    sequences instead of filling a few.
+    over the pieces.  Where documents and attention are not given they follow
+    from the pieces that are packed together: what an even share of the least
+    number of sequences holds, half as much again, and room for the costliest
+    piece.  So they deal pieces evenly over the sequences but don't call for
+    more of them; where they do, by more than one, tokens alone bind.
 
     measure: 'norm' takes the bin that leaves the least weighted residual norm,
     'dot' the one whose residual has the largest weighted dot product with the
@@ -33,8 +35,8 @@ class Capacity:
     """
 
     tokens: int = 1024
-    documents: int = 256
-    attention: int = 272
+    documents: int | None = None
+    attention: int | None = None
     tile: int = 64
     weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     measure: str = "norm"
@@ -109,7 +111,23 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
     """(bin, offset) of each piece: longest first, each into the open bin that
     fits best by the capacity's measure under every constraint, ties to the bin
     opened first or moved up; a new bin where none fits."""
-    full = np.array([capacity.tokens, capacity.documents, capacity.attention], float)
+    least = -(-int(lengths.sum()) // capacity.tokens)
+    found = _best_fit(lengths, capacity, _capacities(lengths, capacity, least))
+    if len(lengths) and found[0].max() > least and (capacity.documents is None or capacity.attention is None):
+        loose = _best_fit(lengths, capacity, _capacities(lengths, capacity, 0))
+        found = min(found, loose, key=lambda x: x[0].max())
+    return found
+
+
+def _capacities(lengths: np.ndarray, capacity: Capacity, least: int) -> np.ndarray:
+    """Tokens, documents and attention of a sequence, those not given by even
+    shares of ``least`` sequences, without bound where that is 0."""
+    needs = capacity.needs(lengths)
+    shares = [needs[k].max() + np.ceil(1.5 * needs[k].sum() / least) if least else max(needs[k].sum(), 1.0) for k in (1, 2)] if len(lengths) else [1.0, 1.0]
+    return np.array([capacity.tokens, *(share if given is None else given for share, given in zip(shares, (capacity.documents, capacity.attention), strict=True))], float)
+
+
+def _best_fit(lengths: np.ndarray, capacity: Capacity, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     scale = np.array(capacity.weights) / full**2
     order = np.argsort(-lengths, kind="stable")
     n = len(lengths)
@@ -187,5 +205,9 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity(), length_col: str = "
     full = rows.where(F.col(length_col) == capacity.tokens).withColumns({"sequence_id": F.monotonically_increasing_id() - F.lit(2**62), "offset": F.lit(0).cast("long")})
     rest = rows.where(F.col(length_col) != capacity.tokens)
     tasks = max(1, -(-rest.count() // capacity.round_pieces))
-    dealt = rest.repartition(tasks, F.xxhash64(*keep))
+    # dealt by the row's place in the table, so that repeated rows go to many tasks
+    number = "_row"
+    while number in keep:
+        number += "_"
+    dealt = rest.withColumn(number, F.monotonically_increasing_id()).repartition(tasks, number).select(*(F.col(f"`{c}`") for c in keep))
     return full.unionByName(dealt.mapInArrow(run, place))
