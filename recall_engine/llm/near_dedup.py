@@ -285,8 +285,9 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "do
 
     Null and empty texts have no shingles, link with nothing and are kept; long
     ones are read whole.  Classes are told apart by the 128-bit digest of their
-    whole sets and numbered by 64 bits of it.  A null id orders before all others and comes back as null.  Rows of equal id
-    and text have equal results; other columns go; an empty table gives none.
+    whole sets and numbered one by one.  A null id orders before all others and
+    comes back as null.  Rows of equal id and text have equal results; other
+    columns go; an empty table gives none.
     """
     component = F.coalesce("component", "id")
     return _resolved(keyed(docs, id_col, text_col), how, most_rounds).select(public_id().alias("doc_id"), F.col("n").alias("n_shingles"), F.when(component != F.lit(NULL_ID), component).alias("component_id"), (F.col("id") == component).alias("kept"))
@@ -312,10 +313,9 @@ def _resolved(rows: DataFrame, how: MinHash, most_rounds: int) -> DataFrame:
     """(key, id, n, group, component) for rows of ``keyed``: group numbers the
     component, component is its smallest id; both null without shingles."""
     signed = written(_signed(rows, how), "signatures")
-    classes = signed.where(F.col("n") > 0).groupBy("s1", "s2").agg(F.min("id").alias("first_id"))
-    # several classes may have one doc_id (repeated ids); their own number is a hash
-    number = F.xxhash64("s1", "s2")
-    members = signed.where(F.col("n") > 0).withColumn("cid", number).dropDuplicates(["cid"])
+    # one row a class; its number is a place in the table, so no two share one
+    one = signed.where(F.col("n") > 0).groupBy("s1", "s2").agg(F.min("id").alias("first_id"), F.first(F.struct("key", "n", "bands", "sketch")).alias("x"))
+    members = written(one.select(F.monotonically_increasing_id().alias("cid"), "s1", "s2", "first_id", "x.*"), "members")
     each = members.select("cid", F.posexplode("bands").alias("band", "bucket"))
     often = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     shared = written(each.join(often, "bucket"), "shared-buckets")
@@ -354,7 +354,8 @@ def _resolved(rows: DataFrame, how: MinHash, most_rounds: int) -> DataFrame:
     if label is None:
         label = buckets.select("cid", F.col("cid").alias("label")).limit(0)
 
-    owner = classes.select(number.alias("cid"), "first_id")
+    owner = members.select("cid", "s1", "s2", "first_id")
     merged = label.join(owner, "cid").groupBy("label").agg(F.min("first_id").alias("component"))
-    of_class = owner.join(label.join(merged, "label"), "cid", "left").select("cid", F.coalesce("label", "cid").alias("group"), F.coalesce("component", "first_id").alias("component"))
-    return signed.select("key", "id", "n", F.when(F.col("n") > 0, number).alias("cid")).join(of_class, "cid", "left").select("key", "id", "n", "group", "component")
+    of_class = owner.join(label.join(merged, "label"), "cid", "left").select("s1", "s2", F.coalesce("label", "cid").alias("group"), F.coalesce("component", "first_id").alias("component"))
+    shown = [F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("s1", "s2")]
+    return signed.select("key", "id", "n", *shown).join(of_class, ["s1", "s2"], "left").select("key", "id", "n", "group", "component")

@@ -14,7 +14,9 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from recall_engine.llm import quality
+from recall_engine.llm.near_dedup import MinHash, near_duplicates
 from recall_engine.llm.neighbours import Hashing, nearest
+from recall_engine.llm.packing import Capacity, best_fit
 from recall_engine.llm.queries import QUERIES
 from recall_engine.llm.tokenize import rank_encoding
 
@@ -313,3 +315,21 @@ def test_op5_recall_on_many_rows(spark):
     # the share of rows that a query's buckets hold falls as the table grows
     share = [how.tables * how.looks(64, n) / np.prod([2.0 * a for a in how.axes(64, n)]) for n in (2_000, 50_000, 10**6, 10**9)]
     assert share == sorted(share, reverse=True) and share[-1] < 0.1 * share[0]
+
+
+def test_small_pieces_fill_sequences():
+    """Limits besides the tokens never call for more sequences than those need."""
+    for lengths, most in ((np.ones(8192, np.int64), 8), (np.full(4096, 3, np.int64), 13), (np.r_[np.full(64, 1000), np.ones(64 * 24)].astype(np.int64), 65)):
+        bins, offsets = best_fit(lengths, Capacity())
+        assert bins.max() + 1 <= most
+        for b in range(bins.max() + 1):
+            own = np.argsort(offsets[bins == b])
+            ends = np.cumsum(lengths[bins == b][own])
+            assert ends[-1] <= 1024 and offsets[bins == b][own].tolist() == [0, *ends[:-1].tolist()]
+
+
+def test_classes_have_numbers_of_their_own(spark):
+    """Numbers of classes are places in a table: as many as there are sets."""
+    rows = [(k, f"unlike{k} words{k} of{k} their{k} own{k}") for k in range(40)] + [(100, "unlike3 words3 of3 their3 own3")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), MinHash(words=2)).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id, r.kept) for r in got} == {(k, k, True) for k in range(40)} | {(100, 3, False)}
