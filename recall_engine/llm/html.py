@@ -40,6 +40,8 @@ _MARKS = frozenset(
 _MAIN_MARKS = frozenset("article content entry main post story".split())
 
 
+# Class words that say how an element is laid out, not what it is.
+_LAYOUT = frozenset("block bottom box col column container content flex grid inner item left list outer right row section top wrap wrapper".split())
 #: Whole class words that mark the same within the article.
 _INSIDE = _MARKS - {"footer", "login", "notice", "pager", "reply", "respond", "search", "skip"}
 
@@ -115,7 +117,7 @@ def parse(html: str) -> Node:
         if rest and "=" in rest:
             values = [(name.lower(), (a or b or c).lower()) for name, a, b, c in _NAMED.findall(rest)]
             marks = frozenset(x for _, v in values for x in _WORD.findall(v))
-            words = frozenset(x for name, v in values if name != "id" for x in v.split())
+            words = frozenset(f"={x}" if name == "role" else x for name, v in values if name != "id" for x in v.split())
         node = Node(tag, marks, words, at)
         at.children.append(node)
         if tag in _RAW:
@@ -127,15 +129,25 @@ def parse(html: str) -> Node:
     return root
 
 
+def _named(node: Node, marks: frozenset[str]) -> bool:
+    """Whether an element is named as nothing else: its role is a mark, or all
+    words of its class are, words of layout aside."""
+    named = {x for x in node.words if x[0] != "="} - _LAYOUT
+    return bool(named) and named <= marks or any(x[0] == "=" and x[1:] in marks for x in node.words)
+
+
 def _unwanted(node: Node, inside: bool) -> bool:
-    """What isn't the article.  Within it, names count only where they are
-    whole class words of a container: its headings and paragraphs stay."""
+    """What isn't the article.  Within it, and outside of it for elements that
+    hold no others, names count only where they say nothing else: a box of
+    class 'share price' and a paragraph of class 'notice-period' stay."""
     if node.tag in _UNWANTED or (node.tag == "header" and not inside):
         return True
     if node.tag in ("html", "body", "main") or not node.marks:
         return False
     if inside:
-        return node.tag in _CONTAINER and bool(node.words & _INSIDE)
+        return node.tag in _CONTAINER and _named(node, _INSIDE)
+    if node.tag not in _CONTAINER:
+        return _named(node, _MARKS)
     return bool(node.marks & _MARKS) or "header" in node.marks
 
 
@@ -197,7 +209,7 @@ def text_of(nodes: list[Node]) -> str:
 def subtree_hashes(root: Node) -> dict[Node, int]:
     """Node -> hash of tag and content, for all elements of a page.
 
-    Children are hashed before their parents; links and numbers of a subtree
+    Children are hashed before their parents; links and attributes of a subtree
     don't count, its texts do."""
     every: dict[Node, int] = {}
     for x in reversed(list(_walk(root))):

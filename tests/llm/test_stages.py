@@ -249,3 +249,15 @@ def test_token_files_are_in_order_over_parts(spark, tmp_path):
     token_files.write_token_ids(docs, str(tmp_path / "t"), public_tokenizers.path("word_bpe_49k.json"), 1)
     rows = token_files.token_offsets(token_files.read_token_ids(spark, str(tmp_path / "t"))).orderBy("part", "pos").collect()
     assert [r.doc_id for r in rows] == list(range(1, 501)) and [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows[:-1])]).tolist()
+
+
+def test_names_decide_only_where_they_say_nothing_else():
+    def text(page):
+        return html.text_of(html.main_elements(html.parse(page)))
+
+    body = "<article><h1>Head</h1><p>One.</p>{}<p>Two.</p></article>"
+    for kept in ("<div class='share price'><p>The share price fell.</p></div>", "<section class='social history'>The share price fell.</section>", "<div class='banner-bearers'>The share price fell.</div>"):
+        assert text(body.format(kept)) == "Head One. The share price fell. Two."
+    for gone in ("<div class=share>no</div>", "<div class='ad container'>no</div>", "<section class='comments' id=c>no</section>", "<div role=navigation class='my own'>no</div>", "<aside>no</aside>", "<form class='x'>no</form>"):
+        assert text(body.format(gone)) == "Head One. Two."
+    assert text("<body><p class='notice-period'>The notice period is long.</p><p class=ad>no</p><div class='ad-box'>no</div></body>") == "The notice period is long."
