@@ -154,7 +154,7 @@ UNION ALL
 SELECT user_id, k, event_id, taken OR shows, CASE WHEN taken THEN agent WHEN shows AND action = 'release' THEN NULL ELSE h END, CASE WHEN taken AND h IS NULL THEN token + 1 ELSE token END, CASE WHEN taken THEN c + 172800000 ELSE until END, c
 FROM (SELECT *, action = 'claim' AND (h IS NULL OR h = agent) AS taken, coalesce(action <> 'claim' AND h = agent AND shown = token, FALSE) AS shows
       FROM (SELECT s.user_id, r.k, r.event_id, r.agent, r.action, r.shown, s.token, s.until, greatest(s.clock, r.ms) AS c, CASE WHEN greatest(s.clock, r.ms) < s.until THEN s.holder END AS h FROM s JOIN r ON r.user_id = s.user_id AND r.k = s.k + 1)))
-SELECT event_id, granted, holder, CASE WHEN holder IS NOT NULL THEN token END AS grant_token FROM s WHERE k > 0"""
+SELECT event_id, granted, coalesce(holder, '') AS holder, CASE WHEN holder IS NOT NULL THEN token ELSE 0 END AS grant_token FROM s WHERE k > 0"""
 
 
 @query("events", sql=_CLAIMS)
@@ -164,4 +164,4 @@ def claim_tokens(e):
     for two days."""
     action = F.when(F.col("event_type") == "view", "write").when(F.col("event_type") == "error", "release").otherwise("claim")
     log = e.select(F.lit("p").alias("project_id"), F.col("user_id").cast("string").alias("resource"), F.concat(F.lit("agent"), (F.hour("ts") % 4).cast("string")).alias("agent_id"), action.alias("action"), (F.col("event_id") % 3 + 1).alias("token"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
-    return claims.claim_log(log, 2 * 24 * 60).select(F.col("seq").alias("event_id"), "granted", "holder", "grant_token")
+    return claims.claim_log(log, 2 * 24 * 60).select(F.col("seq").alias("event_id"), "granted", F.coalesce("holder", F.lit("")).alias("holder"), F.coalesce("grant_token", F.lit(0)).alias("grant_token"))

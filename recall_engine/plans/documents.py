@@ -148,7 +148,7 @@ def stored_updates(d, labels):
     return store.read_store(spark, path).select(F.col("file_path").cast("long").alias("doc_id"), F.col("file_hash").alias("hash")).distinct()
 
 
-@query("events", sql="SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY ALL")
+@query("events", sql="SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY ALL")
 def kept_days(e):
     """Counts of a log in day folders after the days before one were deleted and
     the others merged."""
@@ -156,7 +156,7 @@ def kept_days(e):
     retention.append_days(e, path)
     retention.forget_days(spark, path, datetime.date(2024, 1, 15))
     retention.merge_days(spark, path, 1)
-    return retention.read_days(spark, path).groupBy("day", "event_type").agg(count().alias("n"))
+    return retention.read_days(spark, path).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type").agg(count().alias("n"))
 
 
 @query("documents", "benchmark")
