@@ -139,13 +139,14 @@ def _named(node: Node, marks: frozenset[str]) -> bool:
 def _unwanted(node: Node, inside: bool) -> bool:
     """What isn't the article.  Within it, and outside of it for elements that
     hold no others, names count only where they say nothing else: a box of
-    class 'share price' and a paragraph of class 'notice-period' stay."""
+    class 'share price' and a paragraph of class 'notice-period' stay.  A list
+    within it goes by any word of its class: lists of links are named so."""
     if node.tag in _UNWANTED or (node.tag == "header" and not inside):
         return True
     if node.tag in ("html", "body", "main") or not node.marks:
         return False
     if inside:
-        return node.tag in _CONTAINER and _named(node, _INSIDE)
+        return node.tag in _CONTAINER and (bool(node.words & _INSIDE) if node.tag in ("ul", "ol") else _named(node, _INSIDE))
     if node.tag not in _CONTAINER:
         return _named(node, _MARKS)
     return bool(node.marks & _MARKS) or "header" in node.marks
