@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from recall_engine.plans import QUERIES
 
-HEADLINE = ["vector_topk", "multi_query_topk", "file_rollup", "coverage_totals", "coverage_tree", "changed_files", "project_fingerprint", "fuzzy_dedup", "line_chunks", "session_summary", "events_by_type_last_n", "latest_state", "budget_prefix"]
+HEADLINE = ["vector_topk", "multi_query_topk", "file_rollup", "coverage_totals", "coverage_tree", "changed_files", "project_fingerprint", "fuzzy_dedup", "line_chunks", "session_summary", "events_by_type_last_n", "latest_state", "budget_prefix", "project_digest", "coverage_listing", "route_duplicates", "closest_tasks", "bin_pack", "declared_methods", "claim_tokens"]
 
 
 def main() -> None:
