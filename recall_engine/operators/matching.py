@@ -20,6 +20,9 @@ from recall_engine.functions.text import nearly_same, normalize_text
 #: Segments of a text at most (a look-up takes their square), and characters of
 #: one at least; texts beyond either meet by the band of their length alone.
 MOST_SEGMENTS, LEAST_WIDTH = 20, 2
+#: Keys of up to so many different texts on the right don't use segments: there
+#: comparing the texts of a band costs less than looking segments up.
+SMALL_KEY = 100
 
 
 def band_of(length: int, least: float) -> int:
@@ -87,11 +90,15 @@ def candidate_texts(left: DataFrame, right: DataFrame, on: Sequence[str], least:
 
     whole = F.array(F.struct(F.lit(-1).alias("i"), F.lit("").alias("s")))
     numbers = F.sequence(F.lit(0), F.col("_n") - 1)
+    # both sides know from the same count whether a key is cut into segments
+    sizes = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_size"))
+    left, right = left.join(sizes, on), right.join(sizes, on)
+    cut_up = F.col("_size") > SMALL_KEY
     place = _band("a", least)
-    asked = left.select(*on, "a", F.explode(F.array(place - 1, place, place + 1)).alias("_band")).where("_band >= 0").withColumns({"_n": segments(F.col("_band")), "_w": width(F.col("_band"))})
+    asked = left.select(*on, "a", "_size", F.explode(F.array(place - 1, place, place + 1)).alias("_band")).where("_band >= 0").withColumns({"_n": F.when(cut_up, segments(F.col("_band"))).otherwise(0), "_w": width(F.col("_band"))})
     asked = asked.select(*on, "a", "_band", "_n", "_w", F.explode(F.when(F.col("_n") == 0, whole).otherwise(F.flatten(F.transform(numbers, looked_up)))).alias("_x"))
     asked = asked.select(*on, "a", "_band", "_w", "_x.i", "_x.s")
-    held = right.select(*on, "b", _band("b", least).alias("_band")).withColumns({"_n": segments(F.col("_band")), "_w": width(F.col("_band"))})
+    held = right.select(*on, "b", "_size", _band("b", least).alias("_band")).withColumns({"_n": F.when(cut_up, segments(F.col("_band"))).otherwise(0), "_w": width(F.col("_band"))})
     cut = F.transform(numbers, lambda i: F.struct(i.cast("int").alias("i"), F.substring(F.col("b"), i * F.col("_w") + 1, F.col("_w")).alias("s")))
     held = held.select(*on, "b", "_band", F.explode(F.when(F.col("_n") == 0, whole).otherwise(cut)).alias("_x")).select(*on, "b", "_band", "_x.i", "_x.s")
 
