@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recall_engine.functions.text import nearly_same, normalize_text
+from recall_engine.operators.ranges import settled
 
 #: Segments of a text at most (a look-up takes their square), and characters of
 #: one at least; texts beyond either meet by the band of their length alone.
@@ -171,6 +172,8 @@ def best_match(targets: DataFrame, candidates: DataFrame, on: Sequence[str], tar
         alike = similar_texts(open_, held.select(*on, "b"), on, line).withColumn("_score", score).where(F.col("_score") >= line)
         # the best score is settled on texts; only then do their rows come in
         found = alike.join(held, [*on, "b"]).groupBy(*on, "a").agg(F.min(F.struct((-F.col("_score")).alias("s"), F.col("_first._order").alias("o"), F.col("_first._text").alias("t"))).alias("x"))
+        if line > least:
+            found = settled(found)  # read by this round's answer and the next round's question
         best = found if best is None else best.unionByName(found)
         open_ = open_.join(found, [*on, "a"], "left_anti")
     match = best.select(*on, "a", F.struct(F.col("x.o").alias("order"), F.col("x.t").alias("text"), (-F.col("x.s")).alias("score")).alias("match"))
