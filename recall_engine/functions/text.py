@@ -21,7 +21,9 @@ LANGUAGES = {
     "ex": "elixir", "exs": "elixir", "erl": "erlang", "hrl": "erlang", "clj": "clojure", "cljs": "clojure", "cljc": "clojure", "hs": "haskell",
     "elm": "elm", "dart": "dart", "v": "v", "asm": "assembly", "s": "assembly",
 }
-BINARY = "exe dll so dylib bin pdf jpg jpeg png gif svg ico mp3 mp4 avi mov wav zip tar gz rar 7z db sqlite sqlite3 woff woff2 ttf eot pyc class o a".split()
+BINARY = [
+    "exe", "dll", "so", "dylib", "bin", "pdf", "jpg", "jpeg", "png", "gif", "svg", "ico", "mp3", "mp4", "avi", "mov", "wav", "zip", "tar", "gz", "rar", "7z", "db", "sqlite", "sqlite3", "woff", "woff2", "ttf", "eot", "pyc", "class", "o", "a",
+]
 CODE_NAMES = [
     "Makefile", "Dockerfile", "Jenkinsfile", "Vagrantfile", "Rakefile", "Gemfile", "Podfile", "Fastfile", "CMakeLists.txt", "meson.build", "BUILD", "WORKSPACE",
     ".gitignore", ".gitattributes", ".dockerignore", ".editorconfig", ".prettierrc", ".eslintrc", ".babelrc", ".browserslistrc",
