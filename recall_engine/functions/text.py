@@ -92,9 +92,14 @@ def age_text(since: Column, now: Column) -> Column:
     return F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" minute(s) ago"))).otherwise(F.concat(F.floor(minutes / 60).cast("string"), F.lit(" hour(s) ago")))
 
 
+def time_of_day(at: Column) -> Column:
+    """Hours, minutes and seconds of a time."""
+    return F.date_format(at.cast("timestamp"), "HH:mm:ss")
+
+
 def task_id(at: Column, external: bool = False) -> Column:
     """A prefix and the last six digits of the milliseconds of a time."""
-    return F.concat(F.lit("EXT-" if external else "TASK-"), F.right(F.lpad(F.unix_millis(at.cast("timestamp")).cast("string"), 6, "0"), F.lit(6)))
+    return F.concat(F.lit("EXT-" if external else "TASK-"), F.lpad(F.pmod(F.unix_millis(at.cast("timestamp")), F.lit(1_000_000)).cast("string"), 6, "0"))
 
 
 def contains_all(text: Column, words: list[str]) -> Column:

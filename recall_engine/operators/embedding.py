@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Embedder = Callable[[list[str]], np.ndarray]
@@ -61,3 +61,30 @@ def embed_with_cache(chunks: DataFrame, cache: DataFrame, model: str, embedder:
 
 def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.groupBy("model").agg(F.count(F.lit(1)).alias("vectors"))
+
+
+CACHE = "chunk_id string, content_hash string, model string, vector array<float>"
+
+
+def _cache_place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
+
+
+def save_cache(rows: DataFrame, path: str) -> None:
+    """Appends rows of CACHE, new ones of a run, to a cache in a folder."""
+    rows.select(F.col("chunk_id").cast("string").alias("chunk_id"), "content_hash", "model", "vector").write.mode("append").parquet(path)
+
+
+def load_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of CACHE, one for each chunk, content and model; none where no cache is."""
+    files, place = _cache_place(spark, path)
+    if not files.exists(place):
+        return spark.createDataFrame([], CACHE)
+    return spark.read.schema(CACHE).parquet(path).dropDuplicates(["chunk_id", "content_hash", "model"])
+
+
+def clear_cache(spark: SparkSession, path: str) -> None:
+    """Deletes a cache; one that isn't there is no error."""
+    files, place = _cache_place(spark, path)
+    files.delete(place, True)

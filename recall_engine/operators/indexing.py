@@ -117,6 +117,26 @@ def search_message(found: DataFrame) -> DataFrame:
     return found.agg(F.when(n == 0, "No relevant results").otherwise(F.format_string("Found %d result(s), average score %.3f", n, F.avg("score"))).alias("message"))
 
 
+def search_event(found: DataFrame, project_id: str, session_id: str, agent_id: str, text: str, now: Column, file: str | None = None, language: str | None = None) -> DataFrame:
+    """The one row of the event log that tells of a search: its text and filters,
+    how many chunks it found, and the paths and scores of the best five.  found
+    has at most k rows."""
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "file_path", "score"))), 1, 5)
+    top = F.transform(best, lambda x: F.struct(x["file_path"].alias("path"), x["score"].alias("score")))
+    filters = F.struct(F.lit(file).cast("string").alias("file"), F.lit(language).cast("string").alias("lang"))
+    data = F.to_json(F.struct(F.lit(text).alias("query"), filters.alias("filters"), F.col("n").alias("resultCount"), F.col("top").alias("topResults")))
+    return found.agg(F.count(F.lit(1)).alias("n"), top.alias("top")).select(
+        F.lit(project_id).alias("project_id"), F.lit(session_id).alias("session_id"), F.lit(agent_id).alias("agent_id"), F.lit("search").alias("event_type"), data.alias("data"), now.alias("ts"), F.unix_micros(now).alias("seq")
+    )
+
+
+def search_snippets(found: DataFrame, most: int = 200) -> DataFrame:
+    """What a reasoner is shown of a search: (file, type, name, score, preview),
+    the score in two decimals and at most ``most`` characters of each chunk."""
+    shown = F.when(F.length("content") > most, F.concat(F.substring("content", 1, most), F.lit("..."))).otherwise(F.col("content"))
+    return found.select(F.col("file_path").alias("file"), F.col("chunk_type").alias("type"), "name", F.format_number(F.col("score"), 2).alias("score"), shown.alias("preview"))
+
+
 def file_chunks(index: DataFrame, project_id: str, path: str) -> DataFrame:
     """The chunks of one file in order; the project's partition is read alone."""
     return index.where((F.col("project_id") == project_id) & (F.col("file_path") == path)).orderBy("start_line", "end_line", "id")

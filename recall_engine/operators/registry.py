@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recall_engine.operators.embedding import Embedder, embed_with_cache
 from recall_engine.operators.vectors import top_k
 
 
@@ -26,6 +27,46 @@ def card_text(labels: dict[str, str]) -> Column:
     return F.concat_ws("\n", *(F.concat(F.lit(f"{label}: "), F.col(c).cast("string")) for c, label in labels.items()))
 
 
+def project_text() -> Column:
+    """What is embedded of a card (project_id, description, keywords,
+    responsibilities, owns, project_type, exports): the first three always, the
+    others where they aren't null or empty."""
+    joined = lambda c, sep: F.array_join(F.col(c), sep)
+    line = lambda label, value: F.concat(F.lit(f"{label}: "), value)
+    some = lambda label, value: F.when(value != "", line(label, value))
+    return F.concat_ws(
+        "\n",
+        line("Project", F.col("project_id")),
+        line("Description", F.coalesce("description", F.lit(""))),
+        line("Keywords", F.coalesce(joined("keywords", ", "), F.lit(""))),
+        some("Responsibilities", joined("responsibilities", ". ")),
+        some("Owns", joined("owns", ", ")),
+        some("Type", F.col("project_type")),
+        some("Exports", F.col("exports")),
+    )
+
+
+def embed_cards(cards: DataFrame, cache: DataFrame, model: str, embedder: Embedder) -> tuple[DataFrame, DataFrame]:
+    """(cards with ``content`` and ``vector``, rows to add to the cache): only
+    cards whose text changed since the cache saw them are embedded, many at once
+    where they lie."""
+    return embed_with_cache(cards.withColumns({"id": F.col("project_id"), "content": project_text()}), cache, model, embedder)
+
+
+def register_projects(cards: DataFrame, log: DataFrame, cache: DataFrame, model: str, embedder: Embedder) -> tuple[DataFrame, DataFrame]:
+    """(all cards with vectors, rows to add to the cache) after registrations.
+
+    cards and log have the columns of project_text and ``path``, log a time
+    ``ts`` as well.  What a registration leaves null or empty stays as it was;
+    a registered project is active since its latest registration."""
+    fields = ["description", "keywords", "responsibilities", "owns", "project_type", "exports", "path"]
+    before = cards.select("project_id", *fields, F.col("last_active").alias("ts"), F.lit(0).alias("_new"))
+    both = before.unionByName(log.select("project_id", *fields, "ts", F.lit(1).alias("_new")))
+    merged = merge_cards(both, "project_id", fields, F.struct("_new", "ts"))
+    times = both.groupBy("project_id").agg(F.max("ts").alias("last_active"))
+    return embed_cards(merged.join(times, "project_id"), cache, model, embedder)
+
+
 def matches_text(columns: Sequence[str], wanted: str) -> Column:
     """Whether any of the columns (texts or lists of texts) holds a text, whatever its case."""
     low = wanted.lower()

@@ -107,15 +107,15 @@ def read_files(listed: DataFrame) -> DataFrame:
     return listed.select("root", "path", "size", "mtime").mapInArrow(run, "path string, modificationTime timestamp, length long, content binary")
 
 
-def scan_files(spark: SparkSession, root: str, most_bytes: int = 10 << 20, include_hidden: bool = False, rules: list[Rule] | None = None, include_empty: bool = False) -> DataFrame:
+def scan_files(spark: SparkSession, root: str, most_bytes: int = 10 << 20, include_hidden: bool = False, rules: list[Rule] | None = None, include_empty: bool = False, own: str | None = None) -> DataFrame:
     """file_rows of the code files below ``root``: listed first, and only those
     that are kept are read, in parallel.
 
-    Ignored (``rules``, or the root's ignore files) and oversize files stay out,
+    Ignored (``rules``, or the root's ignore files and the folder ``own``) and oversize files stay out,
     hidden ones (by their name or a folder's) unless ``include_hidden``, and
     empty ones, which hold nothing to index, unless ``include_empty``.  A root that isn't a folder raises.
     """
-    rules = load_rules(spark, root) if rules is None else rules
+    rules = load_rules(spark, root, own) if rules is None else rules
     files, place = file_system(spark, root)
     if not files.exists(place) or not files.getFileStatus(place).isDirectory():
         raise NotADirectoryError(root)

@@ -89,10 +89,11 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def load_rules(spark: SparkSession, root: str) -> list[Rule]:
-    """The built-in folders, the root's .gitignore, and the .memoryignore of the
+def load_rules(spark: SparkSession, root: str, own: str | None = None) -> list[Rule]:
+    """The built-in folders, ``own`` (the name of the folder that the index lies
+    in, so that it isn't indexed itself), the root's .gitignore, and the .memoryignore of the
     root or else of the nearest folder above it that has one."""
-    rules = [rule_of(f"{name}/") for name in IGNORED]
+    rules = [rule_of(f"{name}/") for name in [*IGNORED, *([own] if own else [])]]
     rules += rules_of(read_text(spark, f"{root.rstrip('/')}/.gitignore") or "")
     above = root.rstrip("/")
     while above and not above.endswith((":", ":/")):
