@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from recall_engine.llm.components import components
 from recall_engine.llm.stage import NULL_ID, discard, keyed, public_id, row_key, written
-from recall_engine.llm.textcols import Words, chained, mix, slices
+from recall_engine.llm.textcols import Words, chained, give_back, mix, slices
 
 #: ASCII letters to lower case, and the separators of words.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -250,6 +250,8 @@ def _likely_in_blocks(open_rows: DataFrame, chosen: DataFrame, texts: DataFrame,
             held = batch.slice(cut)
         if held is not None and held.num_rows:
             yield pairs_of(held)
+        batch = keys = held = None
+        give_back()
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recall_engine.llm.stage import written
-from recall_engine.llm.textcols import slices
+from recall_engine.llm.textcols import give_back, slices
 from recall_engine.llm.tokenize import id_lists, unit_encoder
 
 
@@ -201,6 +201,8 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity(), length_col: str = "
                     held, n = [], 0
         if n:
             yield place_all()
+        batch = part = held = None
+        give_back()
 
     full = rows.where(F.col(length_col) == capacity.tokens).withColumns({"sequence_id": F.monotonically_increasing_id() - F.lit(2**62), "offset": F.lit(0).cast("long")})
     rest = rows.where(F.col(length_col) != capacity.tokens)

@@ -2,6 +2,8 @@
 
 import collections
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -297,3 +299,32 @@ def test_html(spark):
     site = [(i, f"https://Site.example:80/{i}", f"<body><div><a href=/{i}>our </a> template</div><p>text {i}</p></body>") for i in range(10)]
     got = {r.page_id: r.text for r in html.extract_main_text(spark.createDataFrame(site, "page_id long, url string, html string")).collect()}
     assert got == {i: f"text {i}" for i in range(10)}
+
+
+def test_workers_give_memory_back():
+    """What a task leaves in its worker, beside the JVM, is not what it worked with."""
+    said = subprocess.run([sys.executable, "-c", KEPT], capture_output=True, text=True, check=True, timeout=120).stdout
+    assert int(said) < 40
+
+
+KEPT = """
+import re
+import pyarrow as pa
+from recall_engine.llm import near_dedup, repeats, suffix_dedup
+from recall_engine.llm.textcols import slices
+
+def held():
+    return sum(map(int, re.findall(r"Pss_Anon: +([0-9]+)", open("/proc/self/smaps_rollup").read()))) // 1024
+
+def task(rows, units=repeats.Units(240, 32, suffix_dedup._read)):
+    batches = (pa.RecordBatch.from_pydict({"text": [f"{i} and {i * i} words of {j} " * 40 for i in range(rows)]}) for j in range(3))
+    for batch in slices(batches):
+        near_dedup.shingle_hashes(batch.column(0), 5)
+        read = units.read(batch.column(0))
+        repeats.runs(repeats.least_grams(read, units), None, read.offsets, units)
+
+task(20)
+before = held()
+task(4000)
+print(held() - before)
+"""
