@@ -102,6 +102,35 @@ def test_substring_dedup(docs, empty, most, monkeypatch):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("later_only", [False, True])
+def test_copies_get_runs_of_windows(docs, later_only, monkeypatch):
+    """Anchors cut into single windows: only repeated ones are joined, and a context's copies meet its runs, not each window."""
+    import recall_engine.llm.repeats as repeats
+
+    whole, join, joins = repeats.Units, repeats.join_hot, []
+
+    def spy(rows, right, on, *a):
+        joins.append((on, rows, right, join(rows, right, on, *a)))
+        return joins[-1][-1]
+
+    monkeypatch.setattr(repeats, "join_hot", spy)
+    monkeypatch.setattr(substring_dedup if later_only else suffix_dedup, "Units", lambda *a: whole(*a, most_contexts=1))
+    if later_only:
+        assert substring_dedup.substring_dedup(docs, 20).where("spans is not null").count()
+    else:
+        assert suffix_dedup.suffix_dedup(docs, 100).where("spans is not null").count()
+    windows = [(rows, made) for on, rows, _, made in joins if on == ["w1", "w2"]]
+    flagged = [right.collect() for on, _, right, _ in joins if len(on) == 3 and "first" in right.columns]
+    assert len(windows) == len(flagged) == 1 and flagged[0]
+    rows, made = windows[0]
+    repeated = rows.groupBy("w1", "w2").agg({"copies": "sum", "least_id": "min", "*": "count"}).toDF("w1", "w2", "k", "m", "n").collect()
+    least = collections.Counter((r.w1, r.w2) for r in rows.select("w1", "w2", "least_id").distinct().collect())
+    assert made.count() == sum(r.n for r in repeated if (least[r.w1, r.w2] > 1 if later_only else r.k > 1)) < rows.count()
+    ends = {(r.h, r.c1, r.c2, r.last) for r in flagged[0]}
+    assert not any((r.h, r.c1, r.c2, r["first"]) in ends for r in flagged[0])
+    assert any(r.last - r["first"] > 1 for r in flagged[0])
+
+
 @pytest.mark.parametrize("low", [1024, 64])
 def test_near_duplicates_in_blocks(spark, low):
     """All buckets go through blocks, of whole sets and of cut ones; loose bands make pairs that aren't links."""
