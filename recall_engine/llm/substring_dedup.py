@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,13 +16,13 @@ from recall_engine.llm.textcols import Words, prefix_hash, slices, span_hash
 
 def _read(column: pa.Array) -> Read:
     w = Words(column)
-    halves = w.hashes()
-    raw, start, end = memoryview(w.raw), w.start, w.end
+    joined = cache(w.joined)
 
     def content(a: int, b: int) -> bytes:
-        return b" ".join([raw[x:y] for x, y in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)])
+        whole, start, end = joined()
+        return whole[start[a] : end[b - 1]]
 
-    return Read(prefix_hash(halves[:, 0]), w.first, halves.tobytes(), 16, content)
+    return Read(prefix_hash(w.rolling()), w.first, content)
 
 
 def _regions(rows: DataFrame, units: Units) -> DataFrame:
@@ -142,7 +144,7 @@ def _compare(window: int, block: int):
     def compare(g: Group) -> np.ndarray:
         column = pa.Array.from_buffers(pa.large_binary(), len(g.h), [None, pa.py_buffer(g.offset.astype(np.int64)), pa.py_buffer(g.text)])
         w = Words(column)
-        return extended_hits(w.known()[0], w.first, g.h, g.windows.astype(np.int64), g.at.astype(np.int64), g.least_id, window, block)
+        return extended_hits(w.numbers(), w.first, g.h, g.windows.astype(np.int64), g.at.astype(np.int64), g.least_id, window, block)
 
     return compare
 
@@ -179,15 +181,25 @@ def cut_words(marked: DataFrame) -> DataFrame:
     def run(batches):
         for batch in slices(batches):
             w = Words(batch.column(2))
-            raw = w.raw.tobytes()
-            kept, gone = [], []
-            for a, b, spans in zip(w.first[:-1].tolist(), w.first[1:].tolist(), batch.column(3).to_pylist(), strict=True):
-                stay = np.ones(b - a, bool)
-                for s in spans or ():
-                    stay[s["start"] : s["end"]] = False
-                at = np.flatnonzero(stay) + a
-                kept.append(b" ".join([raw[x:y] for x, y in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]).decode("utf-8", "replace"))
-                gone.append(b - a - len(at))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.string()), pa.array(w.count.astype(np.int64)), pa.array(gone, pa.int64())], ["key", "doc_id", "kept", "n_words", "n_removed"])
+            spans = batch.column(3)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(spans.offsets)))
+            flat = spans.flatten()
+            edge = np.zeros(len(w.start) + 1, np.int64)
+            np.add.at(edge, np.asarray(flat.field(0)) + w.first[owner], 1)
+            np.add.at(edge, np.asarray(flat.field(1)) + w.first[owner], -1)
+            stay = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
+            # a word that another one follows keeps the byte behind it, as a space
+            follows = w.end[stay[:-1][w.row[stay[1:]] == w.row[stay[:-1]]]]
+            hold = np.zeros(len(w.raw) + 1, np.int8)
+            hold[w.start[stay]] = 1
+            hold[w.end[stay]] -= 1
+            held = np.cumsum(hold[:-1], dtype=np.int8) > 0
+            held[follows] = True
+            raw = w.raw.copy()
+            raw[follows] = 0x20
+            ends = np.concatenate([[0], np.cumsum(held)])[w.offsets]
+            kept = pa.Array.from_buffers(pa.large_string(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw[held])]).cast(pa.string())
+            gone = w.count - np.bincount(w.row[stay], minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept, pa.array(w.count.astype(np.int64)), pa.array(gone.astype(np.int64))], ["key", "doc_id", "kept", "n_words", "n_removed"])
 
     return marked.select("key", "id", "text", "spans").mapInArrow(run, "key long, doc_id long, kept string, n_words long, n_removed long").withColumn("doc_id", public_id("doc_id"))

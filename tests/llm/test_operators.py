@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -102,6 +103,44 @@ def test_substring_dedup(docs, empty, most, monkeypatch):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_words_are_read_without_listing_the_different_ones(monkeypatch):
+    """Listing them took most of the time of op10's passes over the texts."""
+    import pyarrow as pa
+
+    from recall_engine.llm import repeats, textcols
+
+    monkeypatch.setattr(textcols.Words, "known", lambda self: pytest.fail("the different words were listed"))
+    monkeypatch.setattr(textcols, "HASHED_BYTES", 16)
+    rows = ["a bb  a\n" + "w" * 40 + " é bb", "bb", "", None, "a", " \x0b", "bb a"]
+    words = [WORD.findall(t or "") for t in rows]
+    flat = [x.encode() for w in words for x in w]
+    read = substring_dedup._read(pa.array(rows))
+    assert read.offsets.tolist() == [0, *np.cumsum([len(w) for w in words])]
+    for a, b in [(0, 6), (3, 5), (6, 7), (8, 10)]:
+        assert read.content(a, b) == b" ".join(flat[a:b]) and read.digest(a, b) == xxhash.xxh3_128_digest(b" ".join(flat[a:b]))
+    grams = repeats.least_grams(read, repeats.Units(1, 1, substring_dedup._read)).tolist()
+    assert [[g == h for h in grams] for g in grams] == [[x == y for y in flat] for x in flat]
+    text = b"a b c da b x d"
+    group = repeats.Group(np.frombuffer(text, np.uint8), np.array([0, 7, 14]), np.zeros(2, np.int64), np.array([3, 3]), np.zeros(2, np.int64), np.array([1, 2]), np.ones(2, np.int64))
+    assert substring_dedup._compare(2, 1)(group).tolist() == [False, False, False, True, False, False]
+
+
+def test_cut_words_around_spans(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for i in range(60):
+        words = ["".join(rng.choice(list("abé"), rng.integers(1, 4))) for _ in range(rng.integers(0, 9))]
+        text = "".join(x + str(rng.choice([" ", "\n", " \t "])) for x in words)
+        text = text if i % 2 else text.strip()  # rows without white space between the last word and the next row
+        stay = rng.random(len(words)) < 0.5
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], ~stay, [False]]).astype(int)))
+        spans = [(int(a), int(b)) for a, b in edges.reshape(-1, 2)] if len(edges) or i % 3 else None
+        rows.append((i, i, text, spans))
+        want.append((i, " ".join(x for x, s in zip(words, stay, strict=True) if s), len(words), int((~stay).sum())))
+    marked = spark.createDataFrame(rows, "key long, id long, text string, spans array<struct<start:long,end:long>>").coalesce(1)
+    assert sorted((r.doc_id, r.kept, r.n_words, r.n_removed) for r in substring_dedup.cut_words(marked).collect()) == want
+
+
 @pytest.mark.parametrize("later_only", [False, True])
 def test_copies_get_runs_of_windows(docs, later_only, monkeypatch):
     """Anchors cut into single windows: only repeated ones are joined, and a context's copies meet its runs, not each window."""
